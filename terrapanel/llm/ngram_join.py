@@ -7,7 +7,7 @@ two sets with a Jaccard index of at least t share one of these.  Columns are dea
 task; a block keeps the columns with two documents or more, which are few.  Linked documents are then
 sought in two passes over these columns:
 
-1. each document against its column's least document, which joins copies and near copies without
+1. each document against one hub of each of its columns, which joins copies and near copies without
    listing all pairs of a group;
 2. documents of one column that are still in different components, with overlap counts accumulated
    over columns; pairs whose count cannot reach the bound given by their sizes go, the rest are compared
@@ -257,9 +257,14 @@ def ngram_jaccard_components(documents: DataFrame, size: int = 5, percent: int =
     entries = docs.select("text").mapInArrow(_entries(size, percent, salts), "gram long, key long, n int, salt int")
     columns = staged(entries.repartition(blocks, "gram", "salt").mapInArrow(_shared_columns, "gram long, key long, n int"), "ngram-columns")
 
-    least = columns.groupBy("gram").agg(F.min(F.struct("key", "n")).alias("p"), F.max("key").alias("top")).filter("p.key < top").select("gram", "p")
-    star = columns.join(least, "gram").filter(F.col("key") != F.col("p.key")).filter(_sizes_allow("n", "p.n", percent))
-    tried = staged(star.select(F.col("key").alias("a"), F.col("p.key").alias("b")).distinct(), "ngram-stars")
+    # The documents that share most columns are the hubs of their groups: near copies link to the text
+    # they come from more than to each other.
+    shared = staged(columns.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "ngram-shared")
+    hubs = staged(columns.join(shared, "gram").groupBy("key").agg((F.sum("c") / F.max(prefix)).alias("weight")), "ngram-hubs")
+    best = columns.join(hubs, "key").groupBy("gram").agg(F.max(F.struct("weight", "key", "n")).alias("p"), F.min("key").alias("low"), F.max("key").alias("high"))
+    best = staged(best.filter("low < high").select("gram", "p"), "ngram-best")
+    star = columns.join(best, "gram").filter(F.col("key") != F.col("p.key")).filter(_sizes_allow("n", "p.n", percent))
+    tried = staged(star.select(F.greatest("key", "p.key").alias("a"), F.least("key", "p.key").alias("b")).distinct(), "ngram-stars")
     links = staged(_links(docs, members, tried, size, percent), "ngram-links")
     component = connected_components(links, "a", "b")
 
