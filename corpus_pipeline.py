@@ -5,15 +5,60 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from terrapanel.llm.decontaminate import decontaminate
+from terrapanel.llm.lang_id import keep_identified
+from terrapanel.llm.line_dedup import remove_repeated_windows
+from terrapanel.llm.mixing import entropy_mix
+from terrapanel.llm.ngram_join import ngram_jaccard_components
+from terrapanel.llm.staging import staged
 
-#: No SQL for run(): models that are trained and n-gram components are not expressible in it.
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the network recognises."""
+    return keep_identified(docs)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of three-line windows; n_chars follows the text."""
+    cleaned = remove_repeated_windows(docs, n_lines="_n_lines", n_removed="_n_removed")
+    n_chars = F.when(F.col("_n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cleaned.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near copies."""
+    later = staged(ngram_jaccard_components(docs).filter("component_id < doc_id").select("doc_id"), "near-copies")
+    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+
+
+def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passages to speak of."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the training mix takes."""
+    return entropy_mix(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("ngram_join", join_near_copies),
+    ("decontamination", remove_contaminated),
+    ("source_mixing", mix_sources),
+]
+
+#: No SQL for run(): a trained network decides in its first stage.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = staged(docs, f"pipeline-{name}")
     return docs
