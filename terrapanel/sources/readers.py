@@ -16,7 +16,7 @@ def read_csv(spark: SparkSession, path: str, separator: str = ",", encoding: str
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
     """(path, line, value): the numbered lines of small files, each file read whole."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", F.lit(encoding)).alias("content"))
+    files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", encoding).alias("content"))
     lines = files.select("path", F.posexplode(F.split("content", r"\r?\n")).alias("line", "value"))
     return lines.filter(F.col("value") != "")
 
