@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrapanel.llm import oracle
 from terrapanel.llm.decontaminate import contamination
 from terrapanel.llm.lang_id import language_id
 from terrapanel.llm.license_scan import license_findings
@@ -44,7 +45,7 @@ def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_components(_table(spark, sf_dir, "documents"))
+    return ngram_jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +87,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others are learned, keyed with a permutation, or rounded by a rule that SQL does not express."""
+    return {"op1_merkle_fixity_audit": oracle.MERKLE, "op3_ngram_jaccard_join": oracle.NGRAMS, "op6_benchmark_decontamination": oracle.CONTAMINATION, "op10_line_dedup": oracle.LINES}
