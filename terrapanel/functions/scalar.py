@@ -96,9 +96,3 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     """numerator / denominator where the latter is positive, else null."""
     return F.when(denominator > 0, numerator / denominator)
 
-
-def shares_as_json(kinds: Column) -> Column:
-    """From collected kinds, a JSON object of each kind's share."""
-    names = F.array_sort(F.array_distinct(kinds))
-    entry = lambda k: F.struct(k.alias("key"), (F.size(F.filter(kinds, lambda x: x == k)) / F.size(kinds)).alias("value"))
-    return F.to_json(F.map_from_entries(F.transform(names, entry)))

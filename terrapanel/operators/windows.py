@@ -1,14 +1,15 @@
 """Trailing and forward windows of sparse events over calendar days, recency, and rolling measures.
 
-A date range join plans as a nested loop, so windows over events are written as bounded expansions of
-each event's days followed by one grouped sum; windows over dense rows use a range frame.
+A date range join plans as a nested loop.  Sums over windows of events are running totals of what enters
+and leaves; recency and flags are bounded expansions of each event's days; windows over dense rows use a
+range frame.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOWS = (7, 21, 60)
@@ -29,14 +30,28 @@ def trailing_sums(events: DataFrame, keys: Sequence[str], measures: Mapping[str,
     """Sums of each measure over the days [day - w, day - 1] for each w.
 
     measures maps a column to the prefix of its results, `prefix_<w>d`.  A row stands wherever the widest
-    window holds an event; a narrower window without one is 0.  Events of one key and day are summed
-    before they are spread, and all windows come of one spread and one sum.
+    window holds an event; a narrower window without one is 0.
+
+    A sum only changes where an event enters or leaves a window.  Each key and day gives one entry and one
+    exit for each window; running totals over these are then written out day by day, so the work follows
+    the events and the result, not events times days.
     """
-    daily = events.groupBy(*keys, "day").agg(*(F.sum(c).alias(c) for c in measures))
-    age = F.datediff("at", "day")
-    sums = [F.coalesce(F.sum(F.when(age <= w, F.col(c))), F.lit(0)).alias(f"{prefix}_{w}d") for c, prefix in measures.items() for w in sorted(windows)]
-    summed = spread(daily, 1, max(windows)).groupBy(*keys, "at").agg(*sums)
-    return in_calendar(summed.withColumnRenamed("at", "day"), calendar)
+    wide = sorted(windows)
+    daily = events.groupBy(*keys, "day").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in measures)).repartition(*keys)
+    name = lambda c, w: f"{measures[c]}_{w}d"
+
+    def change(days: int, sign: int, of: Sequence[int]) -> Column:
+        moved = [(F.col(c) * sign if w in of else F.col(c) * 0).alias(name(c, w)) for c in measures for w in wide]
+        return F.struct(F.date_add("day", days).alias("at"), F.lit(sign if wide[-1] in of else 0).alias("held"), *moved)
+
+    steps = daily.select(*keys, F.explode(F.array(change(1, 1, wide), *(change(w + 1, -1, [w]) for w in wide))).alias("s")).select(*keys, "s.*")
+    totals = ["held", *(name(c, w) for c in measures for w in wide)]
+    steps = steps.groupBy(*keys, "at").agg(*(F.sum(c).alias(c) for c in totals))
+    ordered = Window.partitionBy(*keys).orderBy("at")
+    running = steps.select(*keys, "at", F.lead("at").over(ordered).alias("until"), *(F.sum(c).over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in totals))
+    held = running.filter(F.col("held") > 0)
+    days = held.select(*keys, F.explode(F.sequence("at", F.date_sub("until", 1))).alias("day"), *totals[1:])
+    return in_calendar(days, calendar)
 
 
 def dense_trailing_sums(grid: DataFrame, keys: Sequence[str], measures: Mapping[str, str], windows: Sequence[int] = WINDOWS) -> DataFrame:

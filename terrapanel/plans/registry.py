@@ -20,6 +20,7 @@ from terrapanel.plans import model as M
 from terrapanel.plans.text import lexicon_score, score_with, sentiment_rollup
 from terrapanel.plans.views import DISLIKED, LIKED, Views
 from terrapanel.sources import snapshots, upsert
+from terrapanel.sources.shared import kept
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -353,7 +354,7 @@ def _design_sql() -> str:
     return f"SELECT place, day, target_outbreak_next_7d, {', '.join(columns)} FROM ({rows}) CROSS JOIN ({medians})"
 
 
-_query("design_matrix", _design_sql())(lambda v: _rounded(M.design_matrix(_model_rows(v), _SPLIT), 8))
+_query("design_matrix", _design_sql())(lambda v: _rounded(M.design_matrix(kept(_model_rows(v), "model-rows"), _SPLIT), 8))
 
 
 def _leakage_sql() -> str:
@@ -366,7 +367,7 @@ _query("leakage_scan", _leakage_sql())(lambda v: M.leakage_scan(v.county_day, ["
 
 def _scores(v: Views) -> DataFrame:
     p = ((F.col("place") * 31 + F.col("year") * 7 + F.col("day_of_year") * 13 + F.col("own_outbreaks_60d") * 120) % 1000).cast("double") / 1000
-    return _model_rows(v).select("place", "day", F.col(M.LABEL).alias("y"), p.alias("p"))
+    return kept(_model_rows(v).select("place", "day", F.col(M.LABEL).alias("y"), p.alias("p")), "scores")
 
 
 _LEVELS = "SELECT p, CAST(sum(CAST(y AS BIGINT)) AS BIGINT) AS tp, count(*) AS n FROM scores GROUP BY p"
@@ -380,15 +381,9 @@ _query("calibration", """SELECT bin, round(avg(p), 6) AS mean_score, round(avg(C
 
 
 def _design(v: Views) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Training and test rows; the sampled design is written once, since every fit reads it often."""
-    import tempfile
-
-    sampled = M.case_control(_model_rows(v).filter("population is not null"), _SPLIT, 0.05)
-    x = M.design_matrix(sampled, _SPLIT)
-    root = v.spark.conf.get("spark.checkpoint.dir", None) or v.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-design-")
-    path = f"{root.rstrip('/')}/design-{abs(hash((v.dir, id(v)))):x}"
-    x.write.mode("overwrite").parquet(path)
-    x = v.spark.read.parquet(path)
+    """Training and test rows; the sample and its design are written once, since every fit reads them often."""
+    sampled = kept(M.case_control(_model_rows(v).filter("population is not null"), _SPLIT, 0.05), "sample")
+    x = kept(M.design_matrix(sampled, _SPLIT), "design")
     names = M.feature_columns(x)
     M.require_clean(x, names)
     split = F.lit(_SPLIT).cast("date")
