@@ -16,6 +16,11 @@ from terrapanel.llm.staging import column_or_null, staged
 _DOC = ("d", "d1", "d2")
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once and not for each element that then() makes."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _windows(lines: Column, window: int) -> Column:
     """The hashes of all runs of `window` lines; an empty array for fewer lines."""
     last = F.size(lines) - window
@@ -42,7 +47,7 @@ def remove_repeated_windows(documents: DataFrame, window: int = 3, n_lines: str
     doc_id = F.col(f"c{names.index('doc_id')}").cast("long") if "doc_id" in names else F.lit(None).cast("long")
     identity = frame.select("*", text.alias("text"), doc_id.alias("d"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(7), text).alias("d2"))
 
-    found = identity.select(*_DOC, F.posexplode(_windows(F.split("text", "\n", -1), window)).alias("pos", "w")).select(*_DOC, "pos", "w.h1", "w.h2")
+    found = identity.select(*_DOC, F.posexplode(_let(F.split("text", "\n", -1), lambda lines: _windows(lines, window))).alias("pos", "w")).select(*_DOC, "pos", "w.h1", "w.h2")
     at = F.struct(*_DOC, "pos")
     first = staged(found.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter(F.col("first") != F.col("last")).select("h1", "h2", "first"), "window-firsts")
     later = found.join(first, ["h1", "h2"]).filter(~F.struct(*_DOC, "pos").eqNullSafe(F.col("first")))
@@ -53,7 +58,8 @@ def remove_repeated_windows(documents: DataFrame, window: int = 3, n_lines: str
     gone = F.flatten(F.transform("at", lambda p: F.sequence(p, p + (window - 1))))
     kept = F.when(F.col("at").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone))
     out = joined.withColumn("kept", kept)
-    cleaned = F.when(F.col("at").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", lambda i: F.get(lines, i)), "\n"))
+    left = _let(lines, lambda own: F.array_join(F.transform("kept", lambda i: F.get(own, i)), "\n"))
+    cleaned = F.when(F.col("at").isNull(), F.col("text")).otherwise(left)
     total = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
     removed = F.when(F.col("at").isNull(), 0).otherwise(F.size(lines) - F.size("kept")).cast("long")
     columns = [(cleaned if name == "text" else F.col(f"c{k}")).alias(name) for k, name in enumerate(names) if name not in (n_lines, n_removed)]
