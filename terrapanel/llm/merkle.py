@@ -10,23 +10,32 @@ shuffles carry hashes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrapanel.llm.staging import column_or_null, staged
 
 FILE_RECORDS = 4096
 RANGE = 1 << 16
-FAN = 16
+FAN = 64
 #: A file has at most 2**FILE_BITS ranges; what lies beyond counts to the last one.
-FILE_BITS = 24
+FILE_BITS = 12
+
+
+#: Files for records without an id, by a hash of their content; the others follow.
+NULL_FILES = 1024
 
 
 def _record(records: DataFrame, id_column: str, uri: str, payload: str) -> DataFrame:
-    """(id, leaf, size): the hash and length of each record; null fields differ from empty ones."""
+    """(id, key, slot, leaf, size, copy): the hash and length of each record, what identifies it (its id, or
+    its content where it has none), the number of its file, and its number among records of its key."""
     head, body = column_or_null(records, uri, "string"), column_or_null(records, payload, "string")
     written = F.concat(F.coalesce(head, F.lit("\u0000")), F.lit("\n"), F.coalesce(body, F.lit("\u0000")))
-    return records.select(column_or_null(records, id_column, "long").alias("id"), F.sha2(written, 256).alias("leaf"), (F.octet_length(written) + 64).cast("long").alias("size"))
+    found = records.select(column_or_null(records, id_column, "long").alias("id"), F.sha2(written, 256).alias("leaf"), (F.octet_length(written) + 64).cast("long").alias("size"))
+    file = F.floor(F.col("id") / FILE_RECORDS)
+    slot = F.when(F.col("id").isNull(), F.pmod(F.crc32("leaf"), F.lit(NULL_FILES))).otherwise(NULL_FILES + F.when(file >= 0, 2 * file).otherwise(-2 * file - 1))
+    keyed = found.withColumn("key", F.coalesce(F.col("id").cast("string"), F.concat(F.lit("-"), F.col("leaf")))).withColumn("slot", slot.cast("long"))
+    return keyed.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy("leaf")))
 
 
 def _node(children: DataFrame, number: Column, level: int) -> DataFrame:
@@ -36,42 +45,32 @@ def _node(children: DataFrame, number: Column, level: int) -> DataFrame:
 
 
 def catalogue(records: DataFrame, id_column: str = "page_id", uri: str = "url", payload: str = "html") -> DataFrame:
-    """(id, copy, leaf, size, file, offset): where each record of the leading replica lies.  Records of
-    one id are numbered by their hash; a null id stands before all others in a file of its own, -1."""
-    from pyspark.sql import Window
-
-    found = _record(records, id_column, uri, payload).withColumn("file", F.coalesce(F.floor(F.col("id") / FILE_RECORDS), F.lit(-1)).cast("long"))
-    same = Window.partitionBy("id").orderBy("leaf")
-    before = Window.partitionBy("file").orderBy("id", "leaf", "copy").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = found.withColumn("copy", F.row_number().over(same))
-    return numbered.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long"))
+    """(id, key, copy, leaf, size, slot, offset): where each record of the leading replica lies in its
+    file.  Records of one id are numbered by their hash."""
+    before = Window.partitionBy("slot").orderBy("id", "leaf", "copy").rowsBetween(Window.unboundedPreceding, -1)
+    return _record(records, id_column, uri, payload).withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long"))
 
 
 def _leaves(records: DataFrame, placed: DataFrame) -> DataFrame:
     """A replica's leaves at the places of the catalogue; records that are not in it come at the start
     of their file."""
-    from pyspark.sql import Window
-
-    own = records.withColumn("copy", F.row_number().over(Window.partitionBy("id").orderBy("leaf")))
-    at = placed.select(F.col("id").alias("i"), F.col("copy").alias("k"), "file", "offset")
-    joined = own.join(at, own["id"].eqNullSafe(at["i"]) & (own["copy"] == at["k"]), "left")
-    return joined.select("id", "copy", "leaf", "size", F.coalesce("file", F.floor(F.col("id") / FILE_RECORDS), F.lit(-1)).cast("long").alias("file"), "offset")
+    return records.join(placed.select("key", "copy", "offset"), ["key", "copy"], "left")
 
 
 def _with_range(leaves: DataFrame) -> DataFrame:
     part = F.least(F.floor(F.coalesce("offset", F.lit(0)) / RANGE), F.lit(2**FILE_BITS - 1))
-    return leaves.withColumn("number", ((F.col("file") + 1) * 2**FILE_BITS + part).cast("long"))
+    return leaves.withColumn("number", (F.col("slot") * 2**FILE_BITS + part).cast("long"))
 
 
 def tree(leaves: DataFrame, levels: int) -> DataFrame:
     """(level, number, hash): level 0 are the ranges, level `levels` - 1 is the root."""
-    ordered = F.sort_array(F.collect_list(F.struct("offset", "id", "copy", "leaf")))
-    level = staged(leaves.groupBy("number").agg(F.sha2(F.array_join(F.transform(ordered, lambda c: F.concat(F.coalesce(c["id"].cast("string"), F.lit("-")), F.lit(":"), c["leaf"])), ","), 256).alias("hash")).select(F.lit(0).alias("level"), "number", "hash"), "merkle-ranges")
+    ordered = F.sort_array(F.collect_list(F.struct("offset", "key", "copy", "leaf")))
+    level = staged(leaves.groupBy("number").agg(F.sha2(F.array_join(F.transform(ordered, lambda c: F.concat(c["key"], F.lit(":"), c["leaf"])), ","), 256).alias("hash")).select(F.lit(0).alias("level"), "number", "hash"), "merkle-ranges")
     out = level
     for k in range(1, levels):
-        level = _node(level, F.floor(F.col("number") / FAN).cast("long"), k)
+        level = staged(_node(level, F.floor(F.col("number") / FAN).cast("long"), k), "merkle-level")
         out = out.unionByName(level)
-    return staged(out, "merkle-tree")
+    return out
 
 
 def audit(primary: DataFrame, replica: DataFrame, id_column: str = "page_id", uri: str = "url", payload: str = "html") -> DataFrame:
@@ -80,8 +79,9 @@ def audit(primary: DataFrame, replica: DataFrame, id_column: str = "page_id", ur
     Returns id_column, copy (1, 2, ... among records of one id), status (`changed`, `missing`: not in the
     replica, `extra`: not in the primary), primary_sha256, replica_sha256, file, offset, size (of the
     primary's record; offset and size are null for extra ones).  Equal replicas, empty ones among them,
-    give no rows.  Null ids, uris and payloads are values of their own; repeated records are compared
-    copy by copy in the order of their hashes; other columns are ignored.
+    give no rows.  Null uris and payloads are values of their own; a record without an id is known by its
+    content, so it can be missing or extra but not changed; repeated records are compared copy by copy in
+    the order of their hashes; other columns are ignored.
     """
     placed = staged(catalogue(primary, id_column, uri, payload), "merkle-catalogue")
     a = _with_range(placed)
@@ -102,11 +102,11 @@ def audit(primary: DataFrame, replica: DataFrame, id_column: str = "page_id", ur
         if not differing.take(1):
             break
     x, y = (t.join(differing, t["number"] == differing["parent"], "left_semi") for t in (a, b))
-    x = x.select("id", "copy", F.col("leaf").alias("primary_sha256"), F.col("file").alias("f"), "offset", "size")
-    y = y.select(F.col("id").alias("i"), F.col("copy").alias("k"), F.col("leaf").alias("replica_sha256"), F.col("file").alias("g"))
-    both = x.join(y, x["id"].eqNullSafe(y["i"]) & (x["copy"] == y["k"]), "full").filter(~F.col("primary_sha256").eqNullSafe(F.col("replica_sha256")))
+    x = x.select("key", "copy", F.col("id").alias("a"), F.col("leaf").alias("primary_sha256"), "offset", "size")
+    y = y.select("key", "copy", F.col("id").alias("b"), F.col("leaf").alias("replica_sha256"))
+    both = x.join(y, ["key", "copy"], "full").filter(~F.col("primary_sha256").eqNullSafe(F.col("replica_sha256"))).withColumn("id", F.coalesce("a", "b"))
     status = F.when(F.col("primary_sha256").isNull(), "extra").when(F.col("replica_sha256").isNull(), "missing").otherwise("changed")
-    return both.select(F.coalesce("id", "i").alias(id_column), F.coalesce("copy", "k").cast("long").alias("copy"), status.alias("status"), "primary_sha256", "replica_sha256", F.coalesce("f", "g").alias("file"), "offset", "size")
+    return both.select(F.col("id").alias(id_column), F.col("copy").cast("long").alias("copy"), status.alias("status"), "primary_sha256", "replica_sha256", F.floor(F.col("id") / FILE_RECORDS).cast("long").alias("file"), "offset", "size")
 
 
 def roots(records: DataFrame, id_column: str = "page_id", uri: str = "url", payload: str = "html") -> DataFrame:

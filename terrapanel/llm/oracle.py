@@ -16,7 +16,7 @@ WITH p AS (SELECT page_id, sha256(url || chr(10) || html) AS a, sha256(url || ch
 q AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos FROM p)
 SELECT page_id, CAST(1 AS BIGINT) AS copy, CASE WHEN page_id % 193 = 7 THEN 'missing' ELSE 'changed' END AS status, a AS primary_sha256, CASE WHEN page_id % 193 <> 7 THEN b END AS replica_sha256, file, pos AS "offset", size
 FROM q WHERE page_id % 193 = 7 OR page_id % 97 = 5
-UNION ALL SELECT page_id + 1000000000000, 1, 'extra', NULL, a, (page_id + 1000000000000) // 4096, NULL, NULL FROM q WHERE page_id % 389 = 11
+UNION ALL SELECT -1 - page_id, 1, 'extra', NULL, a, CAST(floor((-1 - page_id) / 4096.0) AS BIGINT), NULL, NULL FROM q WHERE page_id % 389 = 11
 """
 
 NGRAMS = f"""

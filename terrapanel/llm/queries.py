@@ -32,7 +32,7 @@ def damaged_replica(pages: DataFrame) -> DataFrame:
     copy of every 389th under an id that the primary does not have."""
     kept = pages.filter(F.pmod("page_id", F.lit(193)) != 7)
     changed = kept.withColumn("html", F.when(F.pmod("page_id", F.lit(97)) == 5, F.concat("html", F.lit(" "))).otherwise(F.col("html")))
-    return changed.unionByName(pages.filter(F.pmod("page_id", F.lit(389)) == 11).withColumn("page_id", F.col("page_id") + 10**12))
+    return changed.unionByName(pages.filter(F.pmod("page_id", F.lit(389)) == 11).withColumn("page_id", -1 - F.col("page_id")))
 
 
 def op1_merkle_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

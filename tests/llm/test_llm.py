@@ -62,7 +62,7 @@ def test_merkle_audit_finds_only_the_faults(spark):
     assert merkle.audit(pages, pages.orderBy(F.desc("page_id"))).count() == 0
     found = {(r["page_id"], r["status"]) for r in merkle.audit(pages, queries.damaged_replica(pages)).collect()}
     ids = [r[0] for r in pages.select("page_id").collect()]
-    want = {(i, "missing") for i in ids if i % 193 == 7} | {(i, "changed") for i in ids if i % 97 == 5 and i % 193 != 7} | {(i + 10**12, "extra") for i in ids if i % 389 == 11}
+    want = {(i, "missing") for i in ids if i % 193 == 7} | {(i, "changed") for i in ids if i % 97 == 5 and i % 193 != 7} | {(-1 - i, "extra") for i in ids if i % 389 == 11}
     assert found == want
     a, b = merkle.roots(pages).first()["hash"], merkle.roots(queries.damaged_replica(pages)).first()["hash"]
     assert a != b and a == merkle.roots(pages.orderBy(F.rand(1))).first()["hash"]
