@@ -23,7 +23,7 @@ from terrapanel.llm.staging import column_or_null, staged
 #: Bytes of benchmark text in one broadcast block (a single longer item is a block of its own).
 BLOCK_BYTES = 4 << 20
 #: Bytes of training text in one shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 _A, _B = np.uint64(0xB5297A4D3F84D5A7), np.uint64(0x68E31DA41B56C4E9)
 _LOW = np.uint64((1 << 20) - 1)

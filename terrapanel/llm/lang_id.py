@@ -177,20 +177,24 @@ def with_language(documents: DataFrame, result: str, net: ByteNet | None = None)
     net = net or learn(documents)
     names = documents.columns
     frame = documents.toDF(*(f"c{k}" for k in range(len(names))))
-    text = F.col(f"c{names.index('text')}").cast("string") if "text" in names else F.lit(None).cast("string")
+    if dict(documents.dtypes).get("text") == "string":
+        text_at, text = names.index("text"), F.col(f"c{names.index('text')}")
+    else:
+        text_at, text = len(names), F.lit(None).cast("string")
+        frame = frame.withColumn("text", text)
+    kept = frame.schema.fields
     known = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     shared = spark.sparkContext.broadcast(net)
 
     def run(batches):
         for batch in batches:
-            classes, scores = predict_batch(shared.value, batch.column(len(names)))
+            classes, scores = predict_batch(shared.value, batch.column(text_at))
             lang = pa.array(shared.value.langs, pa.string()).take(pa.array(classes))
             struct = pa.StructArray.from_arrays([lang, pa.array(np.clip(scores, 0, 1))], names=["lang_pred", "score"])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], struct], names=[*batch.schema.names[: len(names)], "result"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, struct], names=[*batch.schema.names, "result"])
 
-    schema = T.StructType([*frame.schema.fields, T.StructField("result", T.StructType.fromDDL("lang_pred string, score double"))])
-    # Only the window bytes of texts with a letter are scored; the others pass with an empty text.
-    found = frame.withColumn("scored", F.when(known, text)).mapInArrow(run, schema) if net else frame.withColumn("result", F.lit(None).cast("struct<lang_pred:string,score:double>"))
+    schema = T.StructType([*kept, T.StructField("result", T.StructType.fromDDL("lang_pred string, score double"))])
+    found = frame.mapInArrow(run, schema) if net else frame.withColumn("result", F.lit(None).cast("struct<lang_pred:string,score:double>"))
     unknown = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     decided = F.when(known if net else F.lit(False), F.col("result")).otherwise(unknown)
     return found.select(*(F.col(f"c{k}") for k in range(len(names))), decided.alias("result")).toDF(*names, result)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.llm import tokens
 from terrapanel.llm.components import connected_components
-from terrapanel.llm.staging import column_or_null, record_batch, staged
+from terrapanel.llm.staging import arrow_rows, column_or_null, record_batch, staged
 
 #: Buckets of the table of n-gram counts that tells common n-grams (a fixed size: 2 MB when broadcast).
 COUNT_BUCKETS = 1 << 18
@@ -34,6 +34,8 @@ COUNT_BUCKETS = 1 << 18
 COLUMN_LOAD = 4096
 #: Entries of the incidence in one block.
 BLOCK_ENTRIES = 400_000
+#: Pairs of whole sets, or documents, in one batch for Python.
+PAIRS_IN_BATCH = 500
 #: Bits of the filter that keeps sets without a candidate pair from being moved (a fixed size: 16 MB).
 FILTER_BITS = 1 << 27
 
@@ -265,7 +267,8 @@ def ngram_jaccard_components(documents: DataFrame, size: int = 5, percent: int =
     best = staged(best.filter("low < high").select("gram", "p"), "ngram-best")
     star = columns.join(best, "gram").filter(F.col("key") != F.col("p.key")).filter(_sizes_allow("n", "p.n", percent))
     tried = staged(star.select(F.greatest("key", "p.key").alias("a"), F.least("key", "p.key").alias("b")).distinct(), "ngram-stars")
-    links = staged(_links(docs, members, tried, size, percent), "ngram-links")
+    with arrow_rows(spark, PAIRS_IN_BATCH):
+        links = staged(_links(docs, members, tried, size, percent), "ngram-links")
     component = connected_components(links, "a", "b")
 
     placed = columns.join(component.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
@@ -279,7 +282,8 @@ def ngram_jaccard_components(documents: DataFrame, size: int = 5, percent: int =
     # What two sets may share beyond the counted columns is at most what the longer rest holds.
     rest = F.greatest(*(F.floor((F.col(k) * percent + 99) / 100) - 1 for k in ("n", "m")))
     able = met.filter((F.col("c") + rest) * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
-    more = staged(_links(docs, members, able.select("a", "b").join(tried, ["a", "b"], "left_anti"), size, percent), "ngram-links")
+    with arrow_rows(spark, PAIRS_IN_BATCH):
+        more = staged(_links(docs, members, able.select("a", "b").join(tried, ["a", "b"], "left_anti"), size, percent), "ngram-links")
     component = connected_components(links.union(more), "a", "b")
 
     named_component = component.join(members.select(F.col("key").alias("node"), "doc_id"), "node")

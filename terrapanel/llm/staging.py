@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -33,6 +34,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Batches of at most `rows` rows for Python in what runs inside, where a row can be large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def column_or_null(df: DataFrame, name: str, kind: str):
     """The column cast to kind, or nulls where the table has no such column."""
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
