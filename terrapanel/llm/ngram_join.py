@@ -36,8 +36,8 @@ COLUMN_LOAD = 4096
 BLOCK_ENTRIES = 400_000
 #: Pairs of whole sets, or documents, in one batch for Python.
 PAIRS_IN_BATCH = 500
-#: Bits of the filter that keeps sets without a candidate pair from being moved (a fixed size: 16 MB).
-FILTER_BITS = 1 << 27
+#: Bits of the filter that keeps sets without a candidate pair from being moved (a fixed size: 4 MB).
+FILTER_BITS = 1 << 25
 
 
 def _sets(batch_texts: pa.Array, size: int):
