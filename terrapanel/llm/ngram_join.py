@@ -278,7 +278,9 @@ def ngram_jaccard_components(documents: DataFrame, size: int = 5, percent: int =
     open_ = staged(placed.join(mixed, "gram").select("gram", "key", "n", "component", (F.col("component") == F.col("main")).alias("in_main")), "ngram-open")
     a, b = open_.filter("not in_main").alias("a"), open_.alias("b")
     meet = a.join(b, F.col("a.gram") == F.col("b.gram")).filter(F.col("a.component") != F.col("b.component")).filter(F.col("b.in_main") | (F.col("a.key") < F.col("b.key"))).filter(_sizes_allow("a.n", "b.n", percent))
-    met = meet.groupBy(F.greatest("a.key", "b.key").alias("a"), F.least("a.key", "b.key").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("a.n").alias("n"), F.max("b.n").alias("m"))
+    # The sides of a pair differ from column to column, so its sizes go by key.
+    size_of = lambda sign: F.expr(f"CASE WHEN a.key {sign} b.key THEN a.n ELSE b.n END")
+    met = meet.groupBy(F.greatest("a.key", "b.key").alias("a"), F.least("a.key", "b.key").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max(size_of(">")).alias("n"), F.max(size_of("<")).alias("m"))
     # What two sets may share beyond the counted columns is at most what the longer rest holds.
     rest = F.greatest(*(F.floor((F.col(k) * percent + 99) / 100) - 1 for k in ("n", "m")))
     able = met.filter((F.col("c") + rest) * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
