@@ -13,15 +13,32 @@ from pyspark.sql import functions as F
 
 from terrapanel.llm.staging import column_or_null
 
-#: Patterns by kind, in the order in which they are tried at a place.
+_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+_DATE = r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])"
+_SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_IP = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"
+#: A group of digits in a longer number is not the start of another value.
+_NO_OTHER = f"(?!{_EMAIL}|{_DATE}|{_SSN}|{_IP})"
+_NO_LONG = "(?![ .-]?(?:[0-9][ -]?){12}[0-9])"
+_PHONE_GROUP = f"[ .-]?{_NO_OTHER}[0-9]{{2,4}}"
+#: After a phone: 8 to 15 digits back to its plus sign.
+_PHONE_LENGTH = r"(?<=\+" + "[ .()-]{0,2}[0-9]" * 8 + "(?:[ .()-]{0,2}[0-9])?" * 7 + ")"
+#: Patterns by kind, in the order in which they are tried at a place.  A phone with code +1 has ten more
+#: digits; others have 8 to 15 digits in two or three groups, or pairs of digits, as many as fit.  The
+#: card's pattern is a whole run of groups of digits, in which _cards finds the cards.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])",
-    "date": r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "ip": r"(?<![0-9.])(?:0|[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "email": _EMAIL,
+    "phone": r"(?<![0-9+])\+(?:1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+    rf"|[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)|[0-9]{{1,4}})(?:(?:[ .-]{_NO_OTHER}[0-9]{{2}}){{4,6}}|(?:{_PHONE_GROUP}){{2}}(?:{_NO_LONG}{_PHONE_GROUP})?)(?![0-9]){_PHONE_LENGTH})",
+    "date": _DATE,
+    "ssn": _SSN,
+    "ip": _IP,
+    "card": f"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?:[ -]{_NO_OTHER}[0-9]++)*+",
 }
+#: Cards in their usual groups are looked for first, then any 13 to 19 digits, the longest first.
+_USUAL_CARDS = ("[0-9]{13,19}", "[0-9]{4}(?:[ -][0-9]{4}){3}", "[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}")
+_OTHER_CARDS = tuple(f"[0-9](?:[ -]?[0-9]){{{n - 1}}}" for n in range(19, 12, -1))
 KINDS = tuple(PATTERNS)
 _ANY = "|".join(PATTERNS.values())
 ROUNDS = 10
@@ -130,21 +147,71 @@ def _email(value: Column, key: str) -> Column:
 
 
 def kind_of(value: Column) -> Column:
-    """The kind of a candidate that passes its kind's validation, else null."""
-    digits = _digits(value)
-    octets = F.transform(F.split(value, r"\."), lambda p: p.try_cast("int"))
+    """The kind of a candidate that passes its kind's validation, else null; cards are found by _cards."""
     is_ = lambda kind: value.rlike(f"^(?:{PATTERNS[kind]})$")
     day = _day(value)
     return (
         F.when(is_("email"), "email")
-        .when(is_("phone") & F.length(digits).between(8, 15), "phone")
+        .when(is_("phone"), "phone")
         .when(is_("date") & (day >= 0) & (day < _DATE_HIGH * _DATE_LOW), "date")
-        .when(is_("ssn") & ~F.substring(value, 1, 3).isin("000", "666") & (F.substring(value, 1, 1) != "9") & (F.substring(value, 5, 2) != "00") & (F.substring(value, 8, 4) != "0000"), "ssn")
-        .when(is_("ip") & F.forall(octets, lambda o: o <= 255), "ip")
-        .when(is_("card") & F.call_function("luhn_check", digits), "card")
+        .when(is_("ssn"), "ssn")
+        .when(is_("ip"), "ip")
     )
 
 
+def _piece(value: Column, kind: Column) -> Column:
+    return F.struct(value.alias("v"), kind.cast("string").alias("kind"))
+
+
+def _cards(run: Column, patterns: tuple[str, ...]) -> Column:
+    """A run of groups of digits as pieces (v, kind): the first group from which one of the patterns is a
+    valid card, then the first after it, and so on, and what stands between them, of kind null."""
+    groups = F.split(run, "(?<=[ -])")
+
+    def card_at(own: Column) -> Column:
+        """The card that starts with these groups, or null."""
+        tried = F.array(*(F.regexp_extract(own, f"^({p})(?![0-9])", 1) for p in patterns))
+        return F.try_element_at(F.filter(tried, lambda c: (c != "") & F.call_function("luhn_check", _digits(c))), F.lit(1))
+
+    def step(state: Column, x: Column) -> Column:
+        inside = state["skip"] > 0
+        over = F.length(x["group"]) - state["skip"]
+        after = F.when(over > 0, F.array(_piece(F.substring(x["group"], state["skip"] + 1, over), F.lit(None)))).otherwise(F.array().cast(_PIECES))
+        here = F.when(inside, after).when(x["card"].isNotNull(), F.array(_piece(x["card"], F.lit("card")))).otherwise(F.array(_piece(x["group"], F.lit(None))))
+        skip = F.when(inside, F.greatest(F.lit(0), -over)).when(x["card"].isNotNull(), F.greatest(F.lit(0), F.length(x["card"]) - F.length(x["group"]))).otherwise(0)
+        # A card of one group leaves that group's separator.
+        rest = F.when(~inside & x["card"].isNotNull() & (F.length(x["card"]) < F.length(x["group"])), F.array(_piece(F.substring(x["group"], -1, 1), F.lit(None)))).otherwise(F.array().cast(_PIECES))
+        return F.struct(skip.cast("int").alias("skip"), F.concat(state["out"], here, rest).alias("out"))
+
+    def scan(g: Column) -> Column:
+        starts = F.transform(g, lambda group, i: F.struct(group.alias("group"), card_at(F.array_join(F.slice(g, i + 1, F.lit(19)), "")).alias("card")))
+        return F.aggregate(starts, F.struct(F.lit(0).alias("skip"), F.array().cast(_PIECES).alias("out")), step, lambda s: s["out"])
+
+    return _let(groups, scan)
+
+
+_PIECES = "array<struct<v:string,kind:string>>"
+
+
+def pieces(value: Column) -> Column:
+    """A candidate as pieces (v, kind) that make it up: itself, or the cards of a run and the rest."""
+    others = lambda p: F.when(p["kind"].isNull() & p["v"].rlike(PATTERNS["card"]), _cards(p["v"], _OTHER_CARDS)).otherwise(F.array(p))
+    join = lambda run: F.flatten(F.transform(run, others))
+    run = value.rlike(f"^(?:{PATTERNS['card']})$")
+    # Groups between two usual cards are one run again.
+    return _let(kind_of(value), lambda kind: F.when(kind.isNull() & run, join(_joined(_cards(value, _USUAL_CARDS)))).otherwise(F.array(_piece(value, kind))))
+
+
+def _joined(run: Column) -> Column:
+    """Pieces with neighbours of kind null made one."""
+    def step(out: Column, p: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        both = (F.size(out) > 0) & p["kind"].isNull() & last["kind"].isNull()
+        return F.when(both, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(_piece(F.concat(last["v"], p["v"]), F.lit(None))))).otherwise(F.concat(out, F.array(p)))
+
+    return F.aggregate(run, F.array().cast(_PIECES), step)
+
+
 def pseudonym(value: Column, kind: Column, key: str) -> Column:
     """What replaces a candidate of a kind; an unvalidated one stays as it is."""
     makers = {"email": _email, "phone": _phone, "date": _date, "ssn": _ssn, "ip": _ip, "card": _card}
@@ -160,7 +227,9 @@ def pseudonymize(documents: DataFrame, key: str, counts: str = "n_") -> DataFram
 
     Kinds: card (13 to 19 digits with a valid check digit), phone (+ and 8 to 15 digits), ssn, ip (dotted
     version 4), date (valid, 1800 to 2199; yyyy-mm-dd, or dd/mm/yyyy and else mm/dd/yyyy, written back as
-    dd/mm/yyyy), email.  Candidates that fail their validation stay.  Texts are processed whole; a null
+    dd/mm/yyyy), email.  Candidates that fail their validation stay, and a value that stands next to other
+    numbers is found all the same: cards start and end with a group of digits, and of several possible
+    ones those in usual groups come first, then the earliest, then the longest.  Texts are processed whole; a null
     text stays null with counts 0, an empty one stays empty; repeated rows are treated alike; all other
     columns are kept (columns named n_<kind> are replaced); an empty table gives an empty result.
     """
@@ -168,8 +237,9 @@ def pseudonymize(documents: DataFrame, key: str, counts: str = "n_") -> DataFram
     frame = documents.toDF(*(f"c{k}" for k in range(len(names))))
     text = F.col(f"c{names.index('text')}").cast("string") if "text" in names else F.lit(None).cast("string")
     found = frame.withColumn("text", text).withColumn("matches", F.regexp_extract_all("text", F.lit(f"({_ANY})"), F.lit(0)))
-    kinds = found.withColumn("kinds", F.transform("matches", kind_of))
-    replaced = F.transform(F.arrays_zip("matches", "kinds"), lambda m: pseudonym(m["matches"], m["kinds"], key))
+    split = found.withColumn("pieces", F.transform("matches", pieces))
+    kinds = split.withColumn("kinds", F.transform(F.flatten("pieces"), lambda p: p["kind"]))
+    replaced = F.transform("pieces", lambda m: F.array_join(F.transform(m, lambda p: pseudonym(p["v"], p["kind"], key)), ""))
     between = F.split("text", _ANY, -1)
     joined = F.concat(F.array_join(F.transform(F.arrays_zip(F.slice(between, F.lit(1), F.size("matches")).alias("t"), replaced.alias("r")), lambda x: F.concat(x["t"], x["r"])), ""), F.element_at(between, -1))
     clean = F.when(F.size("matches") > 0, joined).otherwise(F.col("text"))

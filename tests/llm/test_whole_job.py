@@ -55,3 +55,29 @@ def test_chained_near_copies_in_large_groups(spark):
                 words[rng.randrange(100)] = f"y{rng.randrange(10**6)}"
     got = [(r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_components(docs(spark, texts), size=1).orderBy("doc_id").collect()]
     assert got == _components(texts, size=1)
+
+
+# 2. Pseudonyms.
+
+
+def test_pseudonyms_of_neighbouring_numbers(spark):
+    phone, ip, card = "+1 (826) 555-4081", "190.137.223.204", "4111111111111111"
+    alone = [phone, ip, card, "4111 1111 1111 1111", "2024-02-29", "me@x.org", "4222222222222"]
+    new = dict(zip(alone, (r["text"] for r in pii.pseudonymize(docs(spark, alone), "k").orderBy("doc_id").collect()), strict=True))
+    assert all(a != b for a, b in new.items())
+    rows = [
+        (f"{phone} {ip}", [phone, ip]), (f"{phone} 12 apples", [phone]), (f"{card} 12/27", [card]), (f"{card} 123", [card]),
+        (f"{card} {ip} {card}", [card, ip]), (f"12 {card} 7 {card} 34", [card]), ("1234 4111 1111 1111 1111 12/27", ["4111 1111 1111 1111"]),
+        (f"{phone} {card}", [phone, card]), (f"{card} 2024-02-29", [card, "2024-02-29"]), (f"{card} me@x.org", [card, "me@x.org"]),
+        ("2222222222222222222222 4222222222222-1", ["4222222222222"]), (f"{phone} 2024-02-29", [phone, "2024-02-29"]), ("12 34 56 " * 3000, []),
+    ]
+    got = pii.pseudonymize(docs(spark, [t for t, _ in rows]), "k").orderBy("doc_id").collect()
+    for (text, inside), r in zip(rows[:-1], got, strict=False):
+        want = text
+        for value in inside:
+            want = want.replace(value, new[value])
+        assert r["text"] == want
+        assert sum(r[f"n_{kind}"] for kind in pii.KINDS) == sum(text.count(v) for v in inside)
+    assert re.sub("[0-9]", "9", got[-1]["text"]) == re.sub("[0-9]", "9", rows[-1][0])
+    french = pii.pseudonymize(docs(spark, ["+33 6 12 34 56 78", "+44 20 7946 0958"]), "k").orderBy("doc_id").collect()
+    assert [r["n_phone"] for r in french] == [1, 1] and not french[0]["text"].endswith(" 56 78")
