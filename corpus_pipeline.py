@@ -11,7 +11,7 @@ from terrapanel.llm.decontaminate import decontaminate
 from terrapanel.llm.lang_id import keep_identified
 from terrapanel.llm.line_dedup import remove_repeated_windows
 from terrapanel.llm.mixing import entropy_mix
-from terrapanel.llm.ngram_join import ngram_jaccard_components
+from terrapanel.llm.ngram_join import first_of_components
 from terrapanel.llm.staging import staged
 
 
@@ -28,9 +28,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies."""
-    later = staged(ngram_jaccard_components(docs).filter("component_id < doc_id").select("doc_id"), "near-copies")
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    """Exactly one row, the first by doc_id, of each group of near copies; null and repeated ids too."""
+    return first_of_components(docs)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,7 +71,7 @@ def _first(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
 
-_KEYS = pa.schema([("block", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("counts", pa.binary())])
+_KEYS = pa.schema([("block", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("counts", pa.binary())])
 _COUNT_BLOCKS = 16
 
 
@@ -81,15 +81,15 @@ def _keys_and_counts(size: int):
         seen = False
         for batch in batches:
             seen = True
-            ids = batch.column(0)
+            ids, text_hash = batch.column(0), batch.column(2)
             for i, at, grams in _sets(batch.column(1), size):
                 total += np.bincount((grams & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64), minlength=COUNT_BUCKETS)
                 m = len(at) - 1
-                yield record_batch(_KEYS, block=pa.nulls(m, pa.int32()), doc_id=ids[i : i + m], key=_set_key(grams, at), n=np.diff(at), counts=pa.nulls(m, pa.binary()))
+                yield record_batch(_KEYS, block=pa.nulls(m, pa.int32()), doc_id=ids[i : i + m], text_hash=text_hash[i : i + m], key=_set_key(grams, at), n=np.diff(at), counts=pa.nulls(m, pa.binary()))
         if seen:
             width = COUNT_BUCKETS // _COUNT_BLOCKS
             none = pa.nulls(_COUNT_BLOCKS, pa.int64())
-            yield record_batch(_KEYS, block=np.arange(_COUNT_BLOCKS, dtype=np.int32), doc_id=none, key=none, n=none, counts=[total[k * width : (k + 1) * width].tobytes() for k in range(_COUNT_BLOCKS)])
+            yield record_batch(_KEYS, block=np.arange(_COUNT_BLOCKS, dtype=np.int32), doc_id=none, text_hash=none, key=none, n=none, counts=[total[k * width : (k + 1) * width].tobytes() for k in range(_COUNT_BLOCKS)])
 
     return run
 
@@ -226,26 +226,21 @@ def _sizes_allow(n: str, m: str, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def ngram_jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Each document's n-gram set size and the component it is linked into.
+def _with_ids(documents: DataFrame) -> DataFrame:
+    """doc_id, text and text_hash of the documents; a row without an id stands under a substitute that is
+    larger than any id."""
+    named = documents.select(column_or_null(documents, "doc_id", "long").alias("doc_id"), column_or_null(documents, "text", "string").alias("text"))
+    return named.select(F.coalesce("doc_id", F.lit(2**62) + F.abs(F.xxhash64("text") % 2**60)).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
 
-    documents: doc_id long, text string; other columns are ignored, whatever their names.  Words are
-    runs of characters other than space, tab and line ends, A-Z lower-cased.  Two documents link when
-    100 * |intersection| >= percent * |union| of their sets of `size` words.  Returns doc_id, n_shingles,
-    component_id (the least doc_id that links lead to), n_same (documents with the same set).
 
-    Nulls and texts without words: an empty set, linked with nothing, n_shingles 0.  Fewer words than
-    `size`: one n-gram of them all.  Repeated rows: one result row each.  A null doc_id takes part
-    through its text; its component is null unless a document with an id is linked.  Empty tables give
-    an empty result.
-    """
+def _components_of_sets(documents: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, members, component): doc_id (or substitute), text_hash, key of the set and n of each row;
+    doc_id and n_same of each set; and (node, component) of the sets that are linked."""
     spark = documents.sparkSession
-    named = documents.select(column_or_null(documents, "doc_id", "long").alias("doc_id"), column_or_null(documents, "text", "string").alias("text"))
-    # A row without an id stands under a substitute that is larger than any id.
-    docs = named.select(F.coalesce("doc_id", F.lit(2**62) + F.abs(F.xxhash64("text") % 2**60)).alias("doc_id"), "text")
+    docs = _with_ids(documents)
 
-    first = staged(docs.mapInArrow(_keys_and_counts(size), "block int, doc_id long, key long, n long, counts binary"), "ngram-keys")
-    keyed = first.filter("block is null").select("doc_id", "key", "n")
+    first = staged(docs.mapInArrow(_keys_and_counts(size), "block int, doc_id long, text_hash long, key long, n long, counts binary"), "ngram-keys")
+    keyed = first.filter("block is null").select("doc_id", "text_hash", "key", "n")
     counted = first.filter("block is not null").select("block", "counts").repartition(_COUNT_BLOCKS, "block").mapInArrow(_sum_counts, "block int, counts binary")
     counts = np.zeros(COUNT_BUCKETS, dtype=np.int64)
     for row in counted.collect():  # one row for each of _COUNT_BLOCKS
@@ -287,10 +282,52 @@ def ngram_jaccard_components(documents: DataFrame, size: int = 5, percent: int =
     with arrow_rows(spark, PAIRS_IN_BATCH):
         more = staged(_links(docs, members, able.select("a", "b").join(tried, ["a", "b"], "left_anti"), size, percent), "ngram-links")
     component = connected_components(links.union(more), "a", "b")
+    return keyed, members, component
+
 
+def ngram_jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """Each document's n-gram set size and the component it is linked into.
+
+    documents: doc_id long, text string; other columns are ignored, whatever their names.  Words are
+    runs of characters other than space, tab and line ends, A-Z lower-cased.  Two documents link when
+    100 * |intersection| >= percent * |union| of their sets of `size` words.  Returns doc_id, n_shingles,
+    component_id (the least doc_id that links lead to), n_same (documents with the same set).
+
+    Nulls and texts without words: an empty set, linked with nothing, n_shingles 0.  Fewer words than
+    `size`: one n-gram of them all.  Repeated rows: one result row each.  A null doc_id takes part
+    through its text; its component is null unless a document with an id is linked.  Empty tables give
+    an empty result.
+    """
+    keyed, members, component = _components_of_sets(documents, size, percent)
     named_component = component.join(members.select(F.col("key").alias("node"), "doc_id"), "node")
     least_id = named_component.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_key = members.join(component.join(least_id, "component").select(F.col("node").alias("key"), "component_id"), "key", "left").select("key", "n_same", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = keyed.join(by_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_same", F.lit(1)).cast("long").alias("n_same"))
     real = lambda c: F.when(F.col(c) < 2**62, F.col(c))
     return out.select(real("doc_id").alias("doc_id"), "n_shingles", real("component_id").alias("component_id"), "n_same")
+
+
+def first_of_components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The documents without near copies: of each component of linked rows exactly one, all columns kept.
+
+    It is the row of the least doc_id, rows without an id last; of several rows of that id the one with
+    the least hash of its text; of rows of equal id and text the least by all columns.  Ids need not be
+    unique: a row goes for its own text's links only.  Equal texts are linked unless they have no words;
+    rows without words are linked with nothing, so all of them stay.
+    """
+    keyed, _, component = _components_of_sets(documents, size, percent)
+    name = F.struct("doc_id", "text_hash")
+    placed = keyed.filter("key <> 0").join(component.select(F.col("node").alias("key"), "component"), "key", "left")
+    named = placed.groupBy(F.coalesce("component", "key").alias("component"), "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("c"))
+    named = staged(named, "ngram-named")
+    least = named.groupBy("component").agg(F.min(name).alias("first"), F.sum("c").alias("rows")).filter("rows > 1")
+    decided = staged(named.join(least, "component").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), (F.col("first") == name).alias("_stays"), "c").filter("not _stays or c > 1"), "ngram-decided")
+    columns = documents.columns
+    own_id, text = column_or_null(documents, "doc_id", "long"), column_or_null(documents, "text", "string")
+    marked = documents.select(F.struct(*documents.columns).alias("_row"), F.coalesce(own_id, F.lit(2**62) + F.abs(F.xxhash64(text) % 2**60)).alias("_id"), F.xxhash64(text).alias("_hash"))
+    alone = marked.join(decided, ["_id", "_hash"], "left_anti").select("_row")
+    repeated = decided.filter("_stays")
+    if repeated.isEmpty():
+        return alone.select(*(F.col("_row")[c].alias(c) for c in columns))
+    one = marked.join(repeated.select("_id", "_hash"), ["_id", "_hash"]).groupBy("_id", "_hash").agg(F.min("_row").alias("_row")).select("_row")
+    return alone.union(one).select(*(F.col("_row")[c].alias(c) for c in columns))

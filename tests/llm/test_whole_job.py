@@ -81,3 +81,30 @@ def test_pseudonyms_of_neighbouring_numbers(spark):
     assert re.sub("[0-9]", "9", got[-1]["text"]) == re.sub("[0-9]", "9", rows[-1][0])
     french = pii.pseudonymize(docs(spark, ["+33 6 12 34 56 78", "+44 20 7946 0958"]), "k").orderBy("doc_id").collect()
     assert [r["n_phone"] for r in french] == [1, 1] and not french[0]["text"].endswith(" 56 78")
+
+
+# The pipeline.
+
+
+def test_near_copies_of_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefghijklm") + str(rng.randrange(90)) for _ in range(40)) for _ in range(12)]
+    near = [t + " end" for t in texts]
+    rows = [(1, texts[0]), (7, texts[0]), (7, texts[1]), (None, texts[2]), (None, texts[2]), (None, near[2]), (3, texts[3]), (3, texts[3]), (3, near[3]), (None, texts[4]), (9, near[4]), (None, texts[5])]
+    rows += [(None, None), (None, ""), (4, ""), (4, "")] + [(rng.choice([None, 5, 6, 20, 21]), rng.choice(texts[6:] + near[6:])) for _ in range(60)]
+    table = spark.createDataFrame([(i, t, "s") for i, t in rows], f"{DOCS}, source string")
+    out = corpus_pipeline.join_near_copies(spark, table, "")
+    assert out.columns == table.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    groups = defaultdict(list)
+    for row, (n, c) in zip(rows, _components([t for _, t in rows]), strict=True):
+        groups[c].append(row)
+    key = lambda i: (i is None, i or 0)
+    group_of = {t: c for c, group in groups.items() for _, t in group if t}
+    kept = Counter(group_of[t] for _, t in got if t)
+    assert kept == {c: 1 for c in set(group_of.values())} and not Counter(got) - Counter(rows)
+    for i, t in got:
+        assert not t or key(i) == min(key(k) for k, _ in groups[group_of[t]])
+    assert Counter(r for r in got if not r[1]) == Counter(r for r in rows if not r[1])
