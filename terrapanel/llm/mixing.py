@@ -12,13 +12,15 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrapanel.llm.staging import column_or_null, staged
 
-#: Documents of one source and size are rounded by this many hashed parts.
+#: Documents of one source and size are rounded by this many hashed parts, one of them row by row.
 PARTS = 32
+#: Groups of rows of equal id and text in a part that is split.
+SALTS = 1024
 _KEY = ["no_source", "source_key"]
 
 
@@ -79,25 +81,41 @@ def _rounded(cap: float):
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("size", ascending=False, kind="stable")
-        carry, base, limit = 0.0, [], []
+        carry, base, limit, more = 0.0, [], [], []
         for size, n, rate, parts in zip(group["size"], group["n"], group["rate"], group["parts"], strict=True):
             whole = min(int(rate), int(cap))
             wanted = n * rate * size + carry
-            extra = wanted / size - whole * n
-            best, best_miss, reached, count = 0, abs(extra), 0, 0
-            if whole < cap:
-                for p in sorted(parts, key=lambda p: p["part"]):
-                    reached += p["c"]
-                    if abs(extra - reached) < best_miss:
-                        best, best_miss, count = p["part"] + 1, abs(extra - reached), reached
+            count = min(max(math.floor(wanted / size - whole * n + 0.5), 0), n) if whole < cap else 0
+            part, reached = 0, 0
+            for p in sorted(parts, key=lambda p: p["part"]):
+                part = p["part"]
+                if reached + p["c"] > count:
+                    break
+                reached += p["c"]
+            else:
+                part = PARTS
             carry = wanted - (whole * n + count) * size
             base.append(whole)
-            limit.append(best)
-        return group[[*_KEY, "size"]].assign(base=base, limit=limit)
+            limit.append(part)
+            more.append(count - reached)
+        return group[[*_KEY, "size"]].assign(base=base, limit=limit, more=more)
 
     return run
 
 
+def _split_parts(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """The `row` of the first `more` rows of each part that is taken in part, by a hash of id and text.
+    Rows of the same hash are counted by `row` in SALTS groups, so that no task ranks a great group of them."""
+    cut = plan.filter("more > 0").select(*_KEY, "size", F.col("limit").alias("part"), "more")
+    rows = staged(sized.join(cut, [*_KEY, "size", "part"]).select(*_KEY, "size", "more", "mix", F.pmod("row", F.lit(SALTS)).alias("salt"), "row"), "mix-cut")
+    group = [*_KEY, "size", "more", "mix", "salt"]
+    before = F.sum("c").over(Window.partitionBy(*_KEY, "size").orderBy("mix", "salt").rowsBetween(Window.unboundedPreceding, -1))
+    counted = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("c")).withColumn("left", F.col("more") - F.coalesce(before, F.lit(0)))
+    taken = rows.join(counted.filter("left > 0").select(*group, "c", "left"), group)
+    ranked = taken.filter("c > left").withColumn("r", F.row_number().over(Window.partitionBy(*_KEY, "size").orderBy("row"))).filter("r <= left")
+    return taken.filter("c <= left").select("row").union(ranked.select("row"))
+
+
 def entropy_mix(documents: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: int = 3, steps: int = 40, tolerance: float = 1e-6) -> DataFrame:
     """How many words of each document a mix of all sources takes.
 
@@ -107,19 +125,19 @@ def entropy_mix(documents: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.
     times their own words, the excess going to the others by weight.  Returns doc_id, source, size,
     source_size, target (of the source), rate (of the balanced solution), copies (0 to cap) and taken
     (copies * size).  Each source's taken words differ from its target by less than about its shortest
-    documents' sizes.
+    documents' sizes, also where all its documents have one size or no id.
 
-    The result is a function of the rows alone: parts are dealt by a hash of doc_id.  A null source is a
-    source; a null doc_id or repeated ids are separate documents; sources and documents of size 0 take 0;
+    The result is a function of the rows alone: what is rounded up follows a hash of doc_id and text.  A null source is a
+    source; null and repeated ids are separate documents; sources and documents of size 0 take 0;
     empty tables give an empty result.
     """
     text, source = column_or_null(documents, "text", "string"), column_or_null(documents, "source", "string")
     doc_id = column_or_null(documents, "doc_id", "long")
     sized = documents.select(
         doc_id.alias("doc_id"), source.isNull().alias("no_source"), F.coalesce(source, F.lit("")).alias("source_key"),
-        F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), F.pmod(F.xxhash64(doc_id, F.lit("mix")), F.lit(PARTS)).cast("int").alias("part"),
+        F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), F.xxhash64(doc_id, text, F.lit("mix")).alias("mix"), F.monotonically_increasing_id().alias("row"),
     )
-    sized = staged(sized, "mix-sizes")
+    sized = staged(sized.withColumn("part", F.pmod("mix", F.lit(PARTS)).cast("int")), "mix-sizes")
     counts = sized.groupBy(*_KEY, "size", "part").agg(F.count(F.lit(1)).alias("c"))
     histogram = staged(counts.groupBy(*_KEY, "size").agg(F.sum("c").alias("n"), F.collect_list(F.struct("part", "c")).alias("parts")), "mix-histogram")
     sources = histogram.groupBy(*_KEY).agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -128,8 +146,9 @@ def entropy_mix(documents: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.
     multipliers = _multipliers(full.drop("parts"), wanted, cap, steps, tolerance)
     rate = F.when(F.col("all_full"), F.lit(float(cap))).otherwise(F.least(F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(700.0))), F.lit(float(cap))))
     rated = full.join(multipliers, _KEY).select(*_KEY, "size", "n", "parts", rate.alias("rate"))
-    copies = rated.groupBy(*_KEY).applyInPandas(_rounded(cap), "no_source boolean, source_key string, size long, base int, limit int")
+    copies = rated.groupBy(*_KEY).applyInPandas(_rounded(cap), "no_source boolean, source_key string, size long, base int, limit int, more long")
     plan = staged(rated.select(*_KEY, "size", "rate").join(copies, [*_KEY, "size"]), "mix-plan")
-    out = sized.join(plan, [*_KEY, "size"], "left").join(wanted.select(*_KEY, "source_size", "target"), _KEY)
-    n = F.coalesce(F.col("base") + F.when(F.col("part") < F.col("limit"), 1).otherwise(0), F.lit(0))
+    first = staged(_split_parts(sized, plan), "mix-first").withColumn("first", F.lit(True))
+    out = sized.join(plan, [*_KEY, "size"], "left").join(wanted.select(*_KEY, "source_size", "target"), _KEY).join(first, "row", "left")
+    n = F.coalesce(F.col("base") + F.when((F.col("part") < F.col("limit")) | F.col("first"), 1).otherwise(0), F.lit(0))
     return out.select("doc_id", F.when(~F.col("no_source"), F.col("source_key")).alias("source"), "size", "source_size", "target", F.coalesce("rate", F.lit(0.0)).alias("rate"), n.alias("copies"), (n * F.col("size")).cast("long").alias("taken"))

@@ -108,3 +108,23 @@ def test_near_copies_of_null_and_repeated_ids(spark):
     for i, t in got:
         assert not t or key(i) == min(key(k) for k, _ in groups[group_of[t]])
     assert Counter(r for r in got if not r[1]) == Counter(r for r in rows if not r[1])
+
+
+# 9. Mixing.
+
+
+@pytest.mark.parametrize("null_ids", [False, True])
+def test_mix_of_sources_of_one_size(spark, null_ids):
+    rows = [(None if null_ids else i, " ".join(["w"] * 10) if i % 3 else f"t{i} " + "w " * 9, "abcd"[i % 4] if i % 100 else "e") for i in range(4000)]
+    rows += [(None if null_ids else 10**5 + i, "x " * 10, "a") for i in range(9000)]
+    table = spark.createDataFrame(rows, f"{DOCS}, source string")
+    out = mixing.entropy_mix(table).collect()
+    assert len(out) == len(rows)
+    taken, target = Counter(), {}
+    for r in out:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert r["taken"] == r["copies"] * r["size"] and r["copies"] <= 3
+    assert all(abs(taken[s] - target[s]) <= 10 for s in target)
+    pick = lambda rows: Counter((r["doc_id"], r["source"], r["copies"]) for r in rows)
+    assert pick(out) == pick(mixing.entropy_mix(table.repartition(5)).collect())
