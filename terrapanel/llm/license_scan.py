@@ -6,10 +6,14 @@ and, as the unknown class, on a bounded sample of the documents' own paragraphs
 probabilities are calibrated by a temperature, and the threshold under which a paragraph is unknown is
 the one that gives the wanted precision on varied paragraphs kept from training.  A predicted family is
 reported only if the paragraph contains most words of one of that family's templates.
+
+A notice wrapped over lines is scored as their joined text.  Only runs of lines without a blank line
+between them that hold most words of a template, and no shorter run inside them does, are joined.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -69,6 +73,9 @@ NEAR_MISSES = [
 ]
 FAMILIES = tuple(TEMPLATES)
 
+#: What comments put before and after a line.
+_MARKS = re.compile(r"^[\s/*#;%<!>|-]+|[\s*/#>-]+$")
+
 #: Hashed features, and the bounds of the training sample.
 FEATURES = 1 << 16
 SAMPLE_DOCS = 1000
@@ -226,6 +233,54 @@ def learn(documents: DataFrame) -> LicenceModel:
     return train([r["line"] for r in rows if not any(confirmed(r["line"], f, templates, 0.6) for f in FAMILIES)])
 
 
+def _word_ids(templates: dict[str, list[set[str]]]) -> tuple[np.ndarray, np.ndarray, list[tuple[str, set[str]]]]:
+    """(sorted hashes of template words, word by template, the templates)."""
+    flat = [(family, words) for family, sets in templates.items() for words in sets]
+    known = sorted(set().union(*(words for _, words in flat)))
+    hashes, _ = tokens.word_hashes(*tokens.text_spans(pa.array(known, pa.large_string())), tokens.ALNUM)
+    order = np.argsort(hashes)
+    return hashes[order], np.array([[known[k] in words for _, words in flat] for k in order]), flat
+
+
+def _wrapped(data: np.ndarray, at: np.ndarray, end: np.ndarray, row: np.ndarray, templates: dict[str, list[set[str]]], share: float = 0.75):
+    """(first line, last line, family) of the runs of two lines or more that hold at least `share` of a
+    template's words, no shorter run inside them does, and a whole line is not among them."""
+    known, of_template, flat = _word_ids(templates)
+    hashes, line = tokens.word_hashes(data, at, end, tokens.ALNUM)
+    n_words = np.bincount(line, minlength=len(at))
+    place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    hit = known[place] == hashes
+    place, line = place[hit], line[hit]
+    # A line of comment marks alone is as blank as an empty one.
+    block = np.cumsum((n_words == 0) | np.append(True, row[1:] != row[:-1]))
+    n_blocks = int(block[-1]) + 1 if len(block) else 0
+    pair = np.unique(block[line] * len(known) + place)
+    for t, (family, words) in enumerate(flat):
+        need = -(-int(round(share * 100)) * len(words) // 100)
+        # Few blocks hold enough of the template's words at all.
+        able = np.bincount(pair[of_template[pair % len(known), t]] // len(known), minlength=n_blocks) >= need
+        if not able.any():
+            continue
+        mine = of_template[place, t] & able[block[line]]
+        where, word = line[mine], place[mine]
+        # The shortest run that ends at each place and holds `need` different words: the need-th last of
+        # the latest places of the words.
+        latest: dict[int, int] = {}
+        blocks, last_start = -1, -1
+        for k, w in zip(where.tolist(), word.tolist(), strict=True):
+            if block[k] != blocks:
+                blocks, last_start = block[k], -1
+                latest.clear()
+            latest.pop(w, None)
+            latest[w] = k
+            if len(latest) >= need:
+                start = sorted(latest.values())[-need]
+                if start > last_start:
+                    last_start = start
+                    if start < k:
+                        yield start, k, family
+
+
 def scan_batch(model: LicenceModel, templates: dict[str, list[set[str]]], column: pa.Array):
     """For each text: paragraphs, and (paragraph number, family, probability) of those with a licence."""
     for i, j, data, starts, ends in tokens.pieces(column):
@@ -240,6 +295,19 @@ def scan_batch(model: LicenceModel, templates: dict[str, list[set[str]]], column
             family = FAMILIES[best[k]]
             if confirmed(data[at[k] : end[k]].tobytes().decode("utf-8", "replace"), family, templates):
                 found[row[k]].append((int(number[k]), family, float(score[k])))
+        runs = sorted(set(_wrapped(data, at, end, row, templates)), key=lambda r: (r[1] - r[0], r))
+        texts = [" ".join(_MARKS.sub("", data[at[k] : end[k]].tobytes().decode("utf-8", "replace")) for k in range(a, b + 1)) for a, b, _ in runs]
+        if runs:
+            p = model.probabilities(*_encoded(texts), len(runs))
+            taken = {(k, n) for k in range(j - i) for n, _, _ in found[k]}
+            for (a, b, family), own, text in zip(runs, p, texts, strict=True):
+                c, k = int(own.argmax()), int(row[a])
+                lines_of = {(k, int(number[x])) for x in range(a, b + 1)}
+                if c < len(FAMILIES) and FAMILIES[c] == family and own[c] >= model.threshold and not lines_of & taken and confirmed(text, family, templates):
+                    found[k].append((int(number[a]), family, float(own[c])))
+                    taken |= lines_of
+            for f in found:
+                f.sort()
         lines = np.bincount(row, minlength=j - i)
         yield from zip(lines.tolist(), found, strict=True)
 
@@ -252,7 +320,8 @@ def license_findings(documents: DataFrame, model: LicenceModel | None = None) ->
     """doc_id, n_paragraphs, found: the paragraphs (numbered from 0) that state a licence, with family and
     probability; n_licenses and licenses: how many, and their families in order, comma-joined.
 
-    A paragraph is what line feeds separate.  Null and empty texts have no findings (a null text has no
+    A paragraph is what line feeds separate; a notice that is wrapped over several is numbered by the first,
+    unless one of them states a licence alone.  Null and empty texts have no findings (a null text has no
     paragraph, an empty one has one); repeated rows have a result each; other columns are ignored,
     whatever their names; an empty table gives an empty result.
     """

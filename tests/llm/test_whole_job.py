@@ -128,3 +128,23 @@ def test_mix_of_sources_of_one_size(spark, null_ids):
     assert all(abs(taken[s] - target[s]) <= 10 for s in target)
     pick = lambda rows: Counter((r["doc_id"], r["source"], r["copies"]) for r in rows)
     assert pick(out) == pick(mixing.entropy_mix(table.repartition(5)).collect())
+
+
+# 4. Licences.
+
+
+def test_wrapped_notices_are_found():
+    import textwrap
+
+    background = ["The mill stood by the river and the miller slept.", "Prices of grain rose in the spring.", "She read the letter twice and put it away."] * 40
+    model, templates = license_scan.train(background), license_scan._template_words()
+    texts, want = [], []
+    for family in ("mit", "bsd", "gpl-3.0", "apache-2.0"):
+        notice = max(license_scan.TEMPLATES[family], key=len)
+        for width in (40, 60, 76):
+            for mark in ("", "# ", " * "):
+                texts.append("\n".join(["Some prose first.", "", *(mark + x for x in textwrap.wrap(notice, width)), "", "More prose."]))
+                want.append((2, family))
+    texts += ["The mill\nstood by\nthe river.", "Permission is hereby granted\n\nfree of charge\n\nto any person", "Released under the\nMIT License."]
+    got = [found for _, found in license_scan.scan_batch(model, templates, pa.array(texts))]
+    assert [[(n, f) for n, f, _ in x] for x in got] == [[w] for w in want] + [[], [], [(0, "mit")]]
