@@ -1,7 +1,7 @@
 """Words and word hashes of whole Arrow string columns, computed over the UTF-8 bytes with numpy.
 
 Nothing is decoded row by row: a batch is one byte buffer with offsets, words are runs of word bytes,
-and a word's hash is a difference of one running sum.  Batches are cut into pieces of about PIECE_BYTES
+and a word's hash is made of its blocks of eight bytes.  Batches are cut into pieces of about PIECE_BYTES
 so that a worker's memory does not follow the batch size; only a single longer document exceeds it.
 """
 
@@ -24,11 +24,9 @@ NOT_SPACE[[32, 9, 10, 11, 12, 13]] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_UNBASE = pow(_BASE, -1, 1 << 64)
-_BYTE_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+#: Masks of the first 0 to 8 bytes of a little-endian block.
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 _GRAM_FACTORS = np.random.default_rng(20240608).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,17 +39,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(name: str, base: int, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        size = max(n, PIECE_BYTES + 1)
-        have = np.full(size, base, dtype=np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        _powers[name] = have
-    return have[:n]
-
-
 def text_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, starts and ends of a string column; a null is an empty span."""
     if len(column) == 0:
@@ -93,13 +80,30 @@ def words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: np.ndarr
     return begin, np.flatnonzero(last) + 1, np.searchsorted(starts, begin, "right") - 1
 
 
-def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, equal for equal bytes wherever they stand."""
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.multiply(_BYTE_VALUES[data], _power("up", _BASE, len(data)), out=sums[1:])
-    np.cumsum(sums, out=sums)
-    out = (sums[end] - sums[begin]) * _power("down", _UNBASE, len(data) + 1)[begin]
-    out ^= (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans, equal for equal bytes wherever they stand.
+
+    Each block of eight bytes is mixed with its number in the span, and the mixed blocks are added up, so
+    that no repetition inside a long span can cancel out as it does in a polynomial modulo 2**64.
+    """
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = end - begin
+    blocks = np.maximum(1, (size + 7) >> 3)
+    if blocks.max() == 1:
+        number, at, left = np.zeros(1, np.uint64), begin, size
+    else:
+        before = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        number, at, left = before.astype(np.uint64), np.repeat(begin, blocks) + 8 * before, np.repeat(size, blocks) - 8 * before
+    value = eight[at] & _FIRST_BYTES[np.minimum(left, 8)]
+    value += (number + np.uint64(seed * 2 + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    out = mix(value)
+    if len(out) > len(size):
+        out = np.add.reduceat(out, np.cumsum(blocks) - blocks)
+    out ^= size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     return mix(out)
 
 
