@@ -19,6 +19,12 @@ def _with_least(edges: DataFrame) -> DataFrame:
     return edges.join(least, edges["u"] == least["k"]).select("u", "v", "m")
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each u has one v, and no v is a u."""
+    ends = edges.select(F.col("u").alias("k"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("k").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).filter("out > 1 or out > 0 and into > 0").isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
     """(node, component): every node that has an edge, with the least node of its component.
 
@@ -27,12 +33,9 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 40) ->
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter(F.col("u") != F.col("v"))
     now = staged(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
     for _ in range(rounds):
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark[0] == 0 or tuple(mark) == before:
+        if _are_stars(now):
             break
-        before = tuple(mark)
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _with_least(large)
