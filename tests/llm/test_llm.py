@@ -305,10 +305,59 @@ def test_longest_match_and_removal(spark):
     bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
     texts = ["x " + " ".join(words[5:35]) + " y", "clean text", " ".join(["z"] * 1000 + words[:13])]
     out = decontaminate.contamination(docs(spark, texts), bench).orderBy("doc_id").collect()
-    assert [r["longest_match"] for r in out] == [30, 0, 13] and [r["contaminated"] for r in out] == [True, False, False]
+    assert [(r["longest_match"], r["longest_at"], r["longest_item"]) for r in out] == [(30, 1, "1"), (0, None, None), (13, 1000, "1")]
+    assert [[tuple(h) for h in r["hits"]] for r in out] == [[(1, 30)], [], [(1000, 1012)]] and [r["contaminated"] for r in out] == [True, False, False]
     assert [r["doc_id"] for r in decontaminate.decontaminate(docs(spark, texts), bench).orderBy("doc_id").collect()] == [1, 2]
 
 
+def _longest(text, items):
+    """(words, first word, item) of the longest run of words that the text shares with an item."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    w, best = split(text), (0, 0, "")
+    for item, t in items:
+        v = split(t)
+        for p in range(len(w)):
+            for s in range(len(v)):
+                k = 0
+                while p + k < len(w) and s + k < len(v) and w[p + k] == v[s + k]:
+                    k += 1
+                if k >= 2:
+                    best = min(best, (-k, p, str(item)))
+    return (-best[0], best[1], best[2]) if best[0] else (0, None, None)
+
+
+@pytest.mark.parametrize("block", [1 << 22, 2500])
+def test_longest_matches_equal_brute_force(spark, monkeypatch, block):
+    """Items repeated a thousand times under one id and under many, one block and three."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    rng = random.Random(18)
+    word = lambda: rng.choice("abc") + rng.choice("de")
+    distinct = [(f"i{k}", " ".join(word() for _ in range(rng.choice([3, 12, 13, 30])))) for k in range(8)]
+    items = distinct + [distinct[3]] * 1000 + [(f"i{k}", distinct[4][1]) for k in range(100, 1100)]
+    texts = ["", None, "ad"] + [" ".join([word() for _ in range(20)] + distinct[rng.randrange(8)][1].split()[rng.randrange(3) :] + [word() for _ in range(5)]) for _ in range(40)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    assert decontaminate._items(bench)[1] >= (3 if block == 2500 else 1)
+    out = decontaminate.contamination(docs(spark, texts), bench).orderBy("doc_id").collect()
+    once = sorted(set(items))
+    least = [("i100" if k == 4 else i, t) for k, (i, t) in enumerate(distinct)]
+    assert [(r["longest_match"], r["longest_at"], r["longest_item"]) for r in out] == [_longest(t, least) for t in texts]
+    columns = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert [tuple(r[c] for c in columns) for r in out] == _contamination(texts, once)
+    for r, text in zip(out, texts, strict=True):
+        assert sum(h["last"] - h["first"] + 1 for h in r["hits"]) == r["n_hit"]
+
+
+def test_suffix_array_is_sorted():
+    rng = np.random.default_rng(4)
+    seq = rng.integers(0, 4, 3000).astype(np.uint64)
+    seq[1000:1200] = seq[500:700]
+    seq[-1] = 0
+    array = decontaminate.suffix_array(seq)
+    ends = np.flatnonzero(seq == 0)
+    suffix = [tuple(seq[p : ends[np.searchsorted(ends, p)]]) for p in array]
+    assert sorted(array) == list(range(3000)) and all(a <= b for a, b in zip(suffix, suffix[1:], strict=False))
+
+
 def test_decontamination_of_odd_rows(spark):
     table = odd(spark).withColumn("contamination", F.lit(1)).withColumn("state", F.lit("s"))
     bench = spark.createDataFrame([(None, "some words stand here"), (1, None)], "item_id long, text string")
