@@ -133,14 +133,14 @@ def learn(documents: DataFrame) -> ByteNet | None:
     labelled = documents.select(doc_id.alias("doc_id"), column_or_null(documents, "lang", "string").alias("lang"), column_or_null(documents, "text", "string").alias("text"))
     labelled = labelled.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = labelled.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(SAMPLE_DOCS).select("doc_id")
-    sample = labelled.join(F.broadcast(chosen), "doc_id").mapInArrow(_sample_windows, "doc_id long, lang string, k int, window binary").toPandas()
-    if sample.empty:
+    sample = labelled.join(F.broadcast(chosen), "doc_id").mapInArrow(_sample_windows, "doc_id long, lang string, k int, window binary").toArrow()
+    if not len(sample):
         return None
-    sample = sample.sort_values(["doc_id", "k", "lang", "window"], kind="stable")
+    sample = sample.sort_by([(c, "ascending") for c in ("doc_id", "k", "lang", "window")])
     windows = np.zeros((len(sample), WINDOW), np.uint8)
-    for i, w in enumerate(sample["window"]):
+    for i, w in enumerate(sample["window"].to_pylist()):
         windows[i, : len(w)] = np.frombuffer(w, np.uint8)
-    return train(windows, sample["lang"].tolist())
+    return train(windows, sample["lang"].to_pylist())
 
 
 def predict_batch(net: ByteNet, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
