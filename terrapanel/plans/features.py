@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.functions.scalar import ratio, year_wave
@@ -83,12 +85,13 @@ def forward_targets(outbreak: DataFrame, calendar: DataFrame, horizons: tuple[in
     return W.forward_flags(confirmed_days(outbreak), ["place"], horizons, "target_outbreak_next", calendar)
 
 
-def county_day(places: DataFrame, calendar: DataFrame, edges: DataFrame, outbreak: DataFrame, weather: DataFrame, wild: DataFrame, band: DataFrame, axis: DataFrame, census: DataFrame, pressure: DataFrame, lag: DataFrame, weather_lags: DataFrame, sentiment: DataFrame, census_year: int = 2022) -> DataFrame:
+def county_day(places: DataFrame, calendar: DataFrame, edges: DataFrame, outbreak: DataFrame, weather: DataFrame, wild: DataFrame, band: DataFrame, axis: DataFrame, census: DataFrame, pressure: DataFrame, lag: DataFrame, weather_lags: DataFrame, sentiment: DataFrame, census_year: int = 2022, columns: Sequence[str] = ()) -> DataFrame:
     """The dense model table: every place on every day up to the last observed one.
 
     Attributes of places and of days are joined before the grid is made, so only the sparse facts meet
     its rows, all on (place, day).  Only the target columns look forward; target_complete tells where
-    their horizon is observed.  Counts are 0 where there is no row, measurements null.
+    their horizon is observed.  Counts are 0 where there is no row, measurements null.  With `columns`,
+    only these are made, and inputs that none of them needs are not joined.
     """
     days = W.horizon(outbreak, wild, weather, band)
     band_days = band.agg(F.max("day").alias("band_max_day"))
@@ -97,23 +100,60 @@ def county_day(places: DataFrame, calendar: DataFrame, edges: DataFrame, outbrea
     facts = collapse(outbreak, ["place", "day"])
     targets = forward_targets(outbreak, calendar)
     keys = ["place", "day"]
-    grid = dense_grid(fixed, calendar, days)
-    joined = grid.join(facts, keys, "left").join(targets, keys, "left")
-    joined = joined.join(weather.withColumn("has_weather", F.lit(True)), keys, "left").join(weather_lags, keys, "left")
-    joined = joined.join(wild, keys, "left").join(band, keys, "left").join(pressure, keys, "left").join(sentiment, keys, "left").join(lag, keys, "left")
-    joined = joined.join(F.broadcast(calendar), "day").crossJoin(F.broadcast(days)).crossJoin(F.broadcast(band_days))
-    count = lambda c, name=None: F.coalesce(c, F.lit(0)).alias(name or c)
-    flag = lambda c, name=None: F.coalesce(c, F.lit(False)).alias(name or c)
-    sine, cosine = year_wave(F.col("day_of_year"))
-    return joined.select(
-        "place", "day", "state", "name", "flyway", "lat", "lon", "population", "land_area_sqmi", ratio(F.col("population"), F.col("land_area_sqmi")).alias("pop_density_sqmi"), "n_neighbors", "is_conus",
-        *(count(c) for c in EXPOSURE_COUNTS), *EXPOSURE_MEASURES,
-        "year", "month", "iso_week", "day_of_year", "season", "is_us_holiday", sine.alias("doy_sin"), cosine.alias("doy_cos"),
-        flag("confirmed", "outbreak"), count("outbreak_events"), count("birds_affected"),
-        flag("target_outbreak_next_7d"), flag("target_outbreak_next_14d"),
-        *((F.date_add("day", h) <= F.col("max_day")).alias(f"target_complete_{h}d") for h in (7, 14)),
-        "temp_min_c", "temp_max_c", "precip_mm", flag("has_weather"), "precip_7d_mm", "temp_min_7d_c", "temp_max_7d_c", "precip_days_7d", "temp_days_7d",
-        count("detection_count", "wild_detections"), count("n_species", "wild_n_species"), count("band_count"), (F.col("day") <= F.col("band_max_day")).alias("has_band_coverage"),
-        *(count(c) for c in LAG_COUNTS), count("breeding_side_pressure"), count("wintering_side_pressure"), *(count(c) for c in NEIGHBOUR_COUNTS), *RECENCY,
-        count("post_count"), "sentiment_mean", "sentiment_neg_share",
-    )
+    grid = dense_grid(fixed, calendar, days).join(F.broadcast(calendar), "day").crossJoin(F.broadcast(days)).crossJoin(F.broadcast(band_days))
+    inputs = [facts, targets, weather.withColumn("has_weather", F.lit(True)), weather_lags, wild, band, pressure, sentiment, lag]
+    made = _model_columns()
+    wanted = columns or list(made)
+    needed = {raw for c in wanted for raw in made[c][0]}
+    joined = grid
+    for one in inputs:
+        if needed & set(one.columns):
+            joined = joined.join(one, keys, "left")
+    return joined.select(*(made[c][1].alias(c) for c in wanted))
+
+
+def _model_columns() -> dict[str, tuple[set[str], Column]]:
+    """By name, in order: the columns that each column of the model table is made of, and how."""
+    out: dict[str, tuple[set[str], Column]] = {}
+
+    def add(name: str, column: Column, *raw: str) -> None:
+        out[name] = set(raw), column
+
+    def plain(*names: str) -> None:
+        for c in names:
+            add(c, F.col(c), c)
+
+    def count(raw: str, name: str | None = None) -> None:
+        add(name or raw, F.coalesce(raw, F.lit(0)), raw)
+
+    def flag(raw: str, name: str | None = None) -> None:
+        add(name or raw, F.coalesce(raw, F.lit(False)), raw)
+
+    plain("place", "day", "state", "name", "flyway", "lat", "lon", "population", "land_area_sqmi")
+    add("pop_density_sqmi", ratio(F.col("population"), F.col("land_area_sqmi")))
+    plain("n_neighbors", "is_conus")
+    for c in EXPOSURE_COUNTS:
+        count(c)
+    plain(*EXPOSURE_MEASURES, "year", "month", "iso_week", "day_of_year", "season", "is_us_holiday")
+    for name, wave in zip(("doy_sin", "doy_cos"), year_wave(F.col("day_of_year")), strict=True):
+        add(name, wave)
+    flag("confirmed", "outbreak")
+    count("outbreak_events")
+    count("birds_affected")
+    for h in (7, 14):
+        flag(f"target_outbreak_next_{h}d")
+    for h in (7, 14):
+        add(f"target_complete_{h}d", F.date_add("day", h) <= F.col("max_day"))
+    plain("temp_min_c", "temp_max_c", "precip_mm")
+    flag("has_weather")
+    plain("precip_7d_mm", "temp_min_7d_c", "temp_max_7d_c", "precip_days_7d", "temp_days_7d")
+    count("detection_count", "wild_detections")
+    count("n_species", "wild_n_species")
+    count("band_count")
+    add("has_band_coverage", F.col("day") <= F.col("band_max_day"))
+    for c in (*LAG_COUNTS, "breeding_side_pressure", "wintering_side_pressure", *NEIGHBOUR_COUNTS):
+        count(c)
+    plain(*RECENCY)
+    count("post_count")
+    plain("sentiment_mean", "sentiment_neg_share")
+    return out

@@ -253,7 +253,6 @@ _query("forward_fill", "SELECT l_orderkey, l_linenumber, l_partkey, place, last_
 _query("pivot_mean", "SELECT station, day, round(tmin, 6) AS temp_min_c, round(tmax, 6) AS temp_max_c FROM (SELECT station, day, avg(value) FILTER (WHERE elem = 'TMIN') AS tmin, avg(value) FILTER (WHERE elem = 'TMAX') AS tmax FROM observations GROUP BY ALL) WHERE tmin IS NOT NULL AND tmax IS NOT NULL")(
     lambda v: _rounded(J.pivot_mean(v.observations, ["station", "day"], "elem", "value", {"TMIN": "temp_min_c", "TMAX": "temp_max_c"}, ["TMIN", "TMAX"])))
 _TYPES = ("ECONOMY", "STANDARD", "PROMO")
-_ops = ", ".join(f"coalesce(max(parsed) FILTER (WHERE measure = '{t}' || '_n'), 0) AS {t.lower()}_n" for t in _TYPES)
 _query("pivot_suppressed", "SELECT place, " + ", ".join(f"coalesce({t.lower()}_n, 0) AS {t.lower()}_n, CASE WHEN {t.lower()}_q IS NULL AND coalesce({t.lower()}_n, 0) = 0 THEN 0 ELSE {t.lower()}_q END AS {t.lower()}_q" for t in _TYPES)
     + " FROM places LEFT JOIN (SELECT place, " + ", ".join(f"CAST(min(n) FILTER (WHERE measure = '{t}') AS DOUBLE) AS {t.lower()}_n, min(parsed) FILTER (WHERE measure = '{t}') AS {t.lower()}_q" for t in _TYPES) + " FROM parsed GROUP BY ALL) USING (place)")(lambda v: _census_like(v))
 
@@ -329,8 +328,10 @@ _query("sentiment_udf", "SELECT doc_id, round(score, 6) AS score FROM scored")(l
 _SPLIT = "2000-01-01"
 
 
-def _model_rows(v: Views) -> DataFrame:
-    return v.county_day.filter("is_conus and target_complete_7d")
+def _model_rows(v: Views, *columns: str) -> DataFrame:
+    """The modelled rows of the model table; with `columns`, these alone."""
+    need = dict.fromkeys([*columns, "is_conus", "target_complete_7d"]) if columns else ()
+    return v.model_columns(*need).filter("is_conus and target_complete_7d")
 
 
 def _shared_draw():
@@ -339,8 +340,8 @@ def _shared_draw():
 
 
 _DRAW = "(place * 7919 + (day - DATE '1970-01-01') * 104729) % 1000 / 1000.0"
-_query("case_control_sample", f"SELECT place, day, target_outbreak_next_7d FROM county_day WHERE is_conus AND target_complete_7d AND (day >= DATE '{_SPLIT}' OR target_outbreak_next_7d OR {_DRAW} < 0.05)")(lambda v: M.case_control(_model_rows(v), _SPLIT, 0.05, draw=_shared_draw()).select("place", "day", M.LABEL))
-_query("split_audit", f"SELECT day < DATE '{_SPLIT}' AS is_train, count(*) AS n_rows, count(*) FILTER (WHERE target_outbreak_next_7d) AS positives, round(avg(CAST(target_outbreak_next_7d AS DOUBLE)), 6) AS rate FROM county_day WHERE is_conus AND target_complete_7d GROUP BY ALL")(lambda v: _rounded(M.split_audit(_model_rows(v), _SPLIT)))
+_query("case_control_sample", f"SELECT place, day, target_outbreak_next_7d FROM county_day WHERE is_conus AND target_complete_7d AND (day >= DATE '{_SPLIT}' OR target_outbreak_next_7d OR {_DRAW} < 0.05)")(lambda v: M.case_control(_model_rows(v, "place", "day", M.LABEL), _SPLIT, 0.05, draw=_shared_draw()).select("place", "day", M.LABEL))
+_query("split_audit", f"SELECT day < DATE '{_SPLIT}' AS is_train, count(*) AS n_rows, count(*) FILTER (WHERE target_outbreak_next_7d) AS positives, round(avg(CAST(target_outbreak_next_7d AS DOUBLE)), 6) AS rate FROM county_day WHERE is_conus AND target_complete_7d GROUP BY ALL")(lambda v: _rounded(M.split_audit(_model_rows(v, "day", M.LABEL), _SPLIT)))
 
 
 def _design_sql() -> str:
@@ -367,7 +368,7 @@ _query("leakage_scan", _leakage_sql())(lambda v: M.leakage_scan(v.county_day, ["
 
 def _scores(v: Views) -> DataFrame:
     p = ((F.col("place") * 31 + F.col("year") * 7 + F.col("day_of_year") * 13 + F.col("own_outbreaks_60d") * 120) % 1000).cast("double") / 1000
-    return kept(_model_rows(v).select("place", "day", F.col(M.LABEL).alias("y"), p.alias("p")), "scores")
+    return kept(_model_rows(v, "place", "day", "year", "day_of_year", "own_outbreaks_60d", M.LABEL).select("place", "day", F.col(M.LABEL).alias("y"), p.alias("p")), "scores")
 
 
 _LEVELS = "SELECT p, CAST(sum(CAST(y AS BIGINT)) AS BIGINT) AS tp, count(*) AS n FROM scores GROUP BY p"

@@ -3,6 +3,7 @@ them at any scale.  Each view has the same definition in SQL in registry.py."""
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,16 +13,38 @@ from terrapanel.operators import spatial as G
 from terrapanel.operators.ingest import with_calendar_columns
 from terrapanel.plans import features as P
 from terrapanel.plans.text import lexicon_score, sentiment_rollup
+from terrapanel.sources.shared import shared_folder
+from terrapanel.sources.snapshots import materialise
 
 #: Words that give the invented posts a score.
 LIKED, DISLIKED = ("with", "from", "mit", "con", "avec"), ("stupid", "idiot", "scum", "not", "nicht")
 
 
 class Views:
-    """Lazy views over a folder of tables."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+    """Lazy views over a folder of tables; `built` holds those that are already written."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, built: dict[str, DataFrame] | None = None):
+        self.spark, self.dir, self.built = spark, sf_dir, built or {}
+
+    def rebuilt(self) -> Views:
+        """The same views over the facts of the lines, written in one scan of them, and the calendar that
+        follows from the facts; every feature reads these."""
+        stages = [("facts", lambda _: self.facts), ("days", lambda done: Views(self.spark, self.dir, done).days)]
+        root = f"{shared_folder(self.spark)}/views-{uuid.uuid4().hex}"
+        return Views(self.spark, self.dir, materialise(stages, root, self.spark))
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        """Each place's lines of a day and status, with what every daily fact needs of them."""
+        if "facts" in self.built:
+            return self.built["facts"]
+        heavy, wild = F.col("l_quantity") >= 45, (F.col("l_returnflag") == "A") & (F.col("l_quantity") >= 45)
+        early = (F.col("l_returnflag") == "N") & (F.col("day") < F.lit("2001-01-01").cast("date"))
+        return self.lines.groupBy("place", "day", F.col("l_linestatus").alias("flock_type")).agg(
+            F.count_if(heavy).alias("n_heavy"), F.bool_or(heavy & (F.col("l_returnflag") == "R")).alias("confirmed"), F.sum(F.when(heavy, F.col("l_quantity"))).cast("long").alias("birds"),
+            F.count_if(wild).alias("n_wild"), F.collect_set(F.when(wild, F.col("l_partkey"))).alias("species"), F.count_if(early).alias("n_band"),
+            F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"), F.sum(F.when(F.col("l_linenumber") % 5 != 0, F.col("l_tax"))).alias("rain"),
+        )
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -41,7 +64,9 @@ class Views:
 
     @cached_property
     def days(self) -> DataFrame:
-        span = self.lines.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
+        if "days" in self.built:
+            return self.built["days"]
+        span = self.built.get("facts", self.lines).agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
         return span.select(F.explode(F.sequence("lo", "hi")).alias("day"))
 
     @cached_property
@@ -56,21 +81,30 @@ class Views:
 
     @cached_property
     def outbreak(self) -> DataFrame:
+        if "facts" in self.built:
+            return self.facts.filter("n_heavy > 0").select("place", "day", "flock_type", "confirmed", "birds")
         rows = self.lines.filter("l_quantity >= 45")
         return rows.groupBy("place", "day", F.col("l_linestatus").alias("flock_type")).agg(F.bool_or(F.col("l_returnflag") == "R").alias("confirmed"), F.sum("l_quantity").cast("long").alias("birds"))
 
     @cached_property
     def wild(self) -> DataFrame:
+        if "facts" in self.built:
+            found = self.facts.filter("n_wild > 0").groupBy("place", "day").agg(F.sum("n_wild").alias("detection_count"), F.flatten(F.collect_list("species")).alias("species"))
+            return found.select("place", "day", "detection_count", F.size(F.array_distinct("species")).cast("long").alias("n_species"))
         rows = self.lines.filter("l_returnflag = 'A' and l_quantity >= 45")
         return rows.groupBy("place", "day").agg(F.count(F.lit(1)).alias("detection_count"), F.count_distinct("l_partkey").alias("n_species"))
 
     @cached_property
     def band(self) -> DataFrame:
+        if "facts" in self.built:
+            return self.facts.filter("n_band > 0").groupBy("place", "day").agg(F.sum("n_band").alias("band_count"))
         rows = self.lines.filter((F.col("l_returnflag") == "N") & (F.col("day") < F.lit("2001-01-01").cast("date")))
         return rows.groupBy("place", "day").agg(F.count(F.lit(1)).alias("band_count"))
 
     @cached_property
     def weather(self) -> DataFrame:
+        if "facts" in self.built:
+            return self.facts.groupBy("place", "day").agg((F.min("low") / 1000).alias("temp_min_c"), (F.max("high") / 1000).alias("temp_max_c"), F.sum("rain").alias("precip_mm"))
         rain = F.when(F.col("l_linenumber") % 5 != 0, F.col("l_tax"))
         return self.lines.groupBy("place", "day").agg((F.min("l_extendedprice") / 1000).alias("temp_min_c"), (F.max("l_extendedprice") / 1000).alias("temp_max_c"), F.sum(rain).alias("precip_mm"))
 
@@ -128,7 +162,12 @@ class Views:
 
     @cached_property
     def county_day(self) -> DataFrame:
-        return P.county_day(self.places, self.calendar, self.adjacency, self.outbreak, self.weather, self.wild, self.band, self.axis, self.census, self.pressure, self.spatial_lag, self.weather_lag, self.sentiment.drop("lang_breakdown"))
+        return self.model_columns()
+
+    def model_columns(self, *columns: str) -> DataFrame:
+        """The model table, or the named columns of it, over rebuilt features."""
+        v = self if self.built else self.rebuilt()
+        return P.county_day(v.places, v.calendar, v.adjacency, v.outbreak, v.weather, v.wild, v.band, v.axis, v.census, v.pressure, v.spatial_lag, v.weather_lag, v.sentiment.drop("lang_breakdown"), columns=columns)
 
     @cached_property
     def long_values(self) -> DataFrame:

@@ -8,11 +8,21 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only in local mode, where one
+    machine does all the work."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or Path(tempfile.mkdtemp(prefix="spark-shared-")).as_uri()).rstrip("/")
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _own:
+            _own.append(Path(tempfile.mkdtemp(prefix="spark-shared-")).as_uri())
+        named = _own[0]
+    return named.rstrip("/")
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:

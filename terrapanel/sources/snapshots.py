@@ -32,15 +32,17 @@ def mirror(raw: DataFrame, path: str, day: str) -> None:
     raw.write.mode("errorifexists").parquet(f"{path.rstrip('/')}/capture_date={day}")
 
 
-def materialise(stages: list[tuple[str, object]], root: str, spark: SparkSession) -> dict[str, DataFrame]:
-    """Runs stages (name, function of the tables so far) in order; each is written by year and read again
-    by those after it, so that a rebuilt table never meets a stale one."""
+def materialise(stages: list[tuple[str, object]], root: str, spark: SparkSession, cluster: str = "place") -> dict[str, DataFrame]:
+    """Runs stages (name, function of the tables so far) in order; each is written and read again by those
+    after it, so that a rebuilt table never meets a stale one.  Tables of days are written by year, each
+    task's rows sorted by `cluster` and day as its shuffle left them: no year is gathered in one task."""
     done: dict[str, DataFrame] = {}
     for name, build in stages:
         df = build(done)
         path = f"{root.rstrip('/')}/{name}"
-        if "day" in df.columns:
-            (df.withColumn("part_year", F.year("day")).repartition("part_year").sortWithinPartitions("day").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("part_year").parquet(path))
+        if {"day", cluster} <= set(df.columns):
+            dated = df.withColumn("part_year", F.year("day")).sortWithinPartitions("part_year", cluster, "day")
+            dated.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("part_year").parquet(path)
             done[name] = spark.read.parquet(path).drop("part_year")
         else:
             df.write.mode("overwrite").parquet(path)
