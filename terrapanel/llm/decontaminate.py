@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrapanel.llm import tokens
-from terrapanel.llm.staging import column_or_null, staged
+from terrapanel.llm.staging import column_or_null, small_batches, staged
 
 #: Bytes of benchmark text and ids in one broadcast block (a single longer item is a block of its own).
 BLOCK_BYTES = 4 << 20
 #: Bytes of training text in one shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Bits of the table of word pairs that tells which benchmark suffixes can match two words of a shard.
 PAIR_BITS = 22
 
@@ -326,6 +326,7 @@ def with_contamination(documents: DataFrame, benchmark: DataFrame, result: str,
     column of documents is kept, whatever its name.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     names = documents.columns
     frame = documents.toDF(*(f"c{k}" for k in range(len(names))))
     has_text = dict(documents.dtypes).get("text") == "string"

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.llm import tokens
 from terrapanel.llm.components import connected_components
-from terrapanel.llm.staging import arrow_rows, column_or_null, record_batch, staged
+from terrapanel.llm.staging import arrow_rows, column_or_null, record_batch, small_batches, staged
 
 #: Buckets of the table of n-gram counts that tells common n-grams (a fixed size: 2 MB when broadcast).
 COUNT_BUCKETS = 1 << 18
@@ -338,6 +338,7 @@ def _components_of_sets(documents: DataFrame, size: int, percent: int) -> tuple[
     """(rows, members, component): doc_id, hashes of the text, key of the set and n of each row; doc_id and
     n_same of each set; and (node, component) of the sets that are linked."""
     spark = documents.sparkSession
+    small_batches(spark)
     docs = _identified(documents)
     keyed, members, counts, clashes = _keyed(docs, size)
     salts = spark.sparkContext.broadcast(_salts(counts))
