@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from terrapanel.llm.staging import column_or_null, staged
@@ -21,24 +21,31 @@ from terrapanel.llm.staging import column_or_null, staged
 PARTS = 32
 #: Groups of rows of equal id and text in a part that is split.
 SALTS = 1024
+#: Sizes of one block of a source that are rounded in one task.
+SIZES = 4096
 _KEY = ["no_source", "source_key"]
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
-    """sources (one row each) with `place`, their place by code point, null last."""
-    spark = sources.sparkSession
-    named = sources.filter("not no_source").select("source_key")
-    numbered = named.rdd.map(lambda r: r[0]).sortBy(lambda s: s).zipWithIndex()
-    places = spark.createDataFrame(numbered.map(lambda x: (False, x[0], x[1])), "no_source boolean, source_key string, place long")
-    last = sources.filter("no_source").select(*_KEY).crossJoin(F.broadcast(named.agg(F.count(F.lit(1)).alias("place"))))
-    return sources.join(places.union(last), _KEY)
+    """sources (one row each) with `place`, their place by code point, null last: numbers inside ranges of
+    sources, and the ranges' totals before."""
+    at = sources.repartitionByRange(sources.sparkSession.sparkContext.defaultParallelism, *_KEY).withColumn("range", F.spark_partition_id())
+    ranges = staged(at, "mix-sources")
+    before = F.sum("c").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    totals = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("c")).select("range", F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy(*_KEY)) - 1
+    return ranges.withColumn("own", own).join(F.broadcast(totals), "range").withColumn("place", F.col("before") + F.col("own")).drop("range", "own", "before")
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
-    """sources (no_source, source_key, source_size) with `target`: shares of the total by weight; what
-    exceeds cap times a source's size is shared among the others."""
+    """sources (no_source, source_key, source_size, ...) with `target`: shares of the total by weight; what
+    exceeds cap times a source's size is shared among the others.
+
+    The level of a unit of weight solves one equation that is concave and piecewise linear in it, by Newton
+    steps from below; each step but the last moves at least one source to its cap, mostly many.
+    """
     weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("place") % len(weights) + 1).cast("int"))
-    placed = staged(_ranked(sources).select(*_KEY, "source_size", weight.alias("weight")), "mix-weights")
+    placed = staged(_ranked(sources).select(*sources.columns, weight.alias("weight")), "mix-weights")
     total, all_weights = placed.agg(F.sum("source_size"), F.sum("weight")).first()
     level, most = (float(total) / all_weights if total else 0.0), F.col("source_size") * float(cap)
     while total:
@@ -48,40 +55,43 @@ def targets(sources: DataFrame, weights: tuple[float, ...], cap: float) -> DataF
         if not raised > level * (1 + 1e-15):
             break
         level = raised
-    return placed.withColumn("target", F.least(F.col("weight") * level, most))
+    return placed.withColumn("target", F.least(F.col("weight") * level, most)).drop("weight")
 
 
 def _multipliers(histogram: DataFrame, wanted: DataFrame, cap: float, steps: int, tolerance: float) -> DataFrame:
-    """(source, lam): Newton steps on the logarithm of each source's words, kept inside a bracket."""
-    scale = histogram.groupBy(*_KEY).agg(F.min("size").alias("shortest"), (F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
+    """(source, mean, lam, all_full): Newton steps on the logarithm of each source's words, kept inside a
+    bracket.  A step is one grouped sum of the histogram, with the state carried along."""
     ratio = F.col("target") / F.col("source_size")
     bound = F.when(ratio < 1, F.log(ratio)).otherwise(F.lit(math.log(cap))) * F.col("mean") / F.col("shortest")
-    state = wanted.filter("source_size > 0 and target > 0").join(scale, _KEY).withColumn("bound", bound)
-    state = state.select(*_KEY, "target", "mean", F.least("bound", F.lit(0.0)).alias("low"), F.greatest("bound", F.lit(0.0)).alias("high"), F.lit(0.0).alias("lam"), (ratio >= cap * (1 - 1e-9)).alias("all_full"), F.lit(None).cast("double").alias("gap"))
-    state = staged(state.withColumn("lam", F.when(F.col("all_full"), F.col("high")).otherwise(F.col("lam"))), "mix-state")
+    low, high = F.least(bound, F.lit(0.0)), F.greatest(bound, F.lit(0.0))
+    full = ratio >= cap * (1 - 1e-9)
+    start = F.when(full, high).otherwise(F.greatest(low, F.least(high, F.log(ratio))))
+    state = wanted.filter("source_size > 0 and target > 0").select(*_KEY, "target", "mean", low.alias("low"), high.alias("high"), start.alias("lam"), full.alias("all_full"))
+    x = F.col("size") / F.col("mean")
+    free = F.exp(F.least(F.col("lam") * x, F.lit(700.0)))
+    words = F.col("n") * F.col("size") * F.least(free, F.lit(float(cap)))
+    carried = [F.max(c).alias(c) for c in ("target", "mean", "low", "high", "lam", "all_full")]
+    gap = F.when(F.col("all_full"), 0.0).otherwise(F.abs(F.col("g") / F.col("target") - 1))
     for _ in range(steps):
-        x = F.col("size") / F.col("mean")
-        free = F.exp(F.least(F.col("lam") * x, F.lit(700.0)))
-        rate = F.least(free, F.lit(float(cap)))
-        words = F.col("n") * F.col("size") * rate
-        sums = histogram.join(state.select(*_KEY, "lam", "mean"), _KEY).groupBy(*_KEY).agg(F.sum(words).alias("g"), F.sum(F.when(free < cap, words * x)).alias("h"))
-        both = state.drop("gap").join(sums, _KEY)
-        newton = F.col("lam") + (F.log("target") - F.log("g")) * F.col("g") / F.col("h")
-        both = both.withColumn("low", F.when(F.col("g") < F.col("target"), F.col("lam")).otherwise(F.col("low"))).withColumn("high", F.when(F.col("g") >= F.col("target"), F.col("lam")).otherwise(F.col("high"))).withColumn("newton", newton)
+        both = histogram.join(state, _KEY).groupBy(*_KEY).agg(*carried, F.sum(words).alias("g"), F.sum(F.when(free < cap, words * x)).alias("h"))
+        both = both.withColumn("newton", F.col("lam") + (F.log("target") - F.log("g")) * F.col("g") / F.col("h")).withColumn("gap", gap)
+        both = both.withColumn("low", F.when(F.col("g") < F.col("target"), F.col("lam")).otherwise(F.col("low"))).withColumn("high", F.when(F.col("g") >= F.col("target"), F.col("lam")).otherwise(F.col("high")))
         better = F.when((F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high")), F.col("newton")).otherwise((F.col("low") + F.col("high")) / 2)
-        gap = F.when(F.col("all_full"), 0.0).otherwise(F.abs(F.col("g") / F.col("target") - 1))
-        state = staged(both.select(*_KEY, "target", "mean", "low", "high", F.when(gap <= tolerance, F.col("lam")).otherwise(better).alias("lam"), "all_full", gap.alias("gap")), "mix-state")
-        if (state.agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
-            break
-    return state.select(*_KEY, "mean", "lam", "all_full")
+        widest = Observation()
+        moved = both.select(*_KEY, "target", "mean", "low", "high", F.when(F.col("gap") <= tolerance, F.col("lam")).otherwise(better).alias("lam"), "all_full", "gap").observe(widest, F.max("gap").alias("gap"))
+        state = staged(moved, "mix-state").drop("gap")
+        if (widest.get["gap"] or 0.0) <= tolerance:
+            return state.select(*_KEY, "mean", "lam", "all_full")
+    raise RuntimeError(f"rates have not settled in {steps} Newton steps")
 
 
 def _rounded(cap: float):
-    """Copies of the documents of each size of one source, the error handed down the sizes."""
+    """Copies of the documents of each size of one block of sizes, the error handed down the sizes; `left` is
+    what the last of them leaves, in words."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("size", ascending=False, kind="stable")
-        carry, base, limit, more = 0.0, [], [], []
+        carry, base, limit, more = float(group["carry"].iloc[0]), [], [], []
         for size, n, rate, parts in zip(group["size"], group["n"], group["rate"], group["parts"], strict=True):
             whole = min(int(rate), int(cap))
             wanted = n * rate * size + carry
@@ -98,11 +108,28 @@ def _rounded(cap: float):
             base.append(whole)
             limit.append(part)
             more.append(count - reached)
-        return group[[*_KEY, "size"]].assign(base=base, limit=limit, more=more)
+        left = [0.0] * (len(group) - 1) + [carry]
+        return group[[*_KEY, "size", "rate"]].assign(base=base, limit=limit, more=more, left=left)
 
     return run
 
 
+def _plan(rated: DataFrame, lowest: DataFrame, cap: float) -> DataFrame:
+    """(source, size, rate, base, limit, more): the copies by size.  A source of up to SIZES sizes is rounded as
+    a whole.  Of others, blocks of SIZES sizes are rounded apart; what they leave goes to the lowest block,
+    whose documents are the shortest and many."""
+    ddl = "no_source boolean, source_key string, size long, rate double, base int, limit int, more long, left double"
+    dealt = rated.join(lowest, _KEY).withColumn("block", F.when(F.col("whole"), 0).otherwise(F.expr(f"size div {SIZES}")))
+    group = [*_KEY, "block"]
+    apart = dealt.filter("block > lowest").withColumn("carry", F.lit(0.0)).groupBy(*group).applyInPandas(_rounded(cap), ddl)
+    last, out = dealt.filter("block = lowest").withColumn("carry", F.lit(0.0)), None
+    if not lowest.filter("highest > lowest").isEmpty():
+        out = staged(apart, "mix-plan")
+        last = last.drop("carry").join(out.groupBy(*_KEY).agg(F.sum("left").alias("carry")), _KEY, "left").withColumn("carry", F.coalesce("carry", F.lit(0.0)))
+    own = last.groupBy(*group).applyInPandas(_rounded(cap), ddl)
+    return staged(own if out is None else own.union(out), "mix-plan").drop("left")
+
+
 def _split_parts(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """The `row` of the first `more` rows of each part that is taken in part, by a hash of id and text.
     Rows of the same hash are counted by `row` in SALTS groups, so that no task ranks a great group of them."""
@@ -125,11 +152,13 @@ def entropy_mix(documents: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.
     times their own words, the excess going to the others by weight.  Returns doc_id, source, size,
     source_size, target (of the source), rate (of the balanced solution), copies (0 to cap) and taken
     (copies * size).  Each source's taken words differ from its target by less than about its shortest
-    documents' sizes, also where all its documents have one size or no id.
+    documents' sizes, also where all its documents have one size or no id; with more than SIZES sizes, by what
+    its shortest documents cannot make up for.
 
-    The result is a function of the rows alone: what is rounded up follows a hash of doc_id and text.  A null source is a
-    source; null and repeated ids are separate documents; sources and documents of size 0 take 0;
-    empty tables give an empty result.
+    The result is a function of the rows alone: what is rounded up follows a hash of doc_id and text, and of
+    rows equal in both any may be.  A null source is a source; null and repeated ids are separate documents;
+    sources and documents of size 0 take 0; a very long text is counted whole, in one pass over it; empty
+    tables give an empty result.  Newton steps that do not settle in `steps` raise an error.
     """
     text, source = column_or_null(documents, "text", "string"), column_or_null(documents, "source", "string")
     doc_id = column_or_null(documents, "doc_id", "long")
@@ -140,14 +169,19 @@ def entropy_mix(documents: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.
     sized = staged(sized.withColumn("part", F.pmod("mix", F.lit(PARTS)).cast("int")), "mix-sizes")
     counts = sized.groupBy(*_KEY, "size", "part").agg(F.count(F.lit(1)).alias("c"))
     histogram = staged(counts.groupBy(*_KEY, "size").agg(F.sum("c").alias("n"), F.collect_list(F.struct("part", "c")).alias("parts")), "mix-histogram")
-    sources = histogram.groupBy(*_KEY).agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    some = F.when(F.col("size") > 0, F.col("size"))
+    sources = histogram.groupBy(*_KEY).agg(
+        F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count(F.lit(1)).alias("n_sizes"), F.min(some).alias("shortest"), F.max(some).alias("longest"), (F.sum(some * F.col("n")) / F.sum(F.when(F.col("size") > 0, F.col("n")))).alias("mean")
+    )
     wanted = staged(targets(sources, weights, cap), "mix-targets")
     full = histogram.filter("size > 0")
     multipliers = _multipliers(full.drop("parts"), wanted, cap, steps, tolerance)
     rate = F.when(F.col("all_full"), F.lit(float(cap))).otherwise(F.least(F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(700.0))), F.lit(float(cap))))
     rated = full.join(multipliers, _KEY).select(*_KEY, "size", "n", "parts", rate.alias("rate"))
-    copies = rated.groupBy(*_KEY).applyInPandas(_rounded(cap), "no_source boolean, source_key string, size long, base int, limit int, more long")
-    plan = staged(rated.select(*_KEY, "size", "rate").join(copies, [*_KEY, "size"]), "mix-plan")
+    whole = F.col("n_sizes") <= SIZES
+    block = lambda c: F.when(whole, 0).otherwise(F.expr(f"{c} div {SIZES}"))
+    lowest = wanted.filter("source_size > 0").select(*_KEY, whole.alias("whole"), block("shortest").alias("lowest"), block("longest").alias("highest"))
+    plan = _plan(rated, lowest, cap)
     first = staged(_split_parts(sized, plan), "mix-first").withColumn("first", F.lit(True))
     out = sized.join(plan, [*_KEY, "size"], "left").join(wanted.select(*_KEY, "source_size", "target"), _KEY).join(first, "row", "left")
     n = F.coalesce(F.col("base") + F.when((F.col("part") < F.col("limit")) | F.col("first"), 1).otherwise(0), F.lit(0))
