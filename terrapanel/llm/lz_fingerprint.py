@@ -5,13 +5,16 @@ one more byte); the set of phrases is hashed, and its least SKETCH hashes are th
 fingerprints compare by the share of equal hashes among the least SKETCH of both, an estimate of the
 Jaccard index of the phrase sets, which is high for texts that compress each other well.
 
-To compare each document with the next one, documents are dealt to ranges of doc_id, sorted inside each
-and streamed; the first document of a range is also sent to the range before it.
+To compare each document with the next one, documents are dealt to ranges of doc_id (those of one id that
+is very common to parts by a hash of the text), sorted inside each and streamed; the first document of a
+range is also sent to the range before it.  Only rows equal in id and text stay together in one part.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.llm import tokens
-from terrapanel.llm.staging import column_or_null
+from terrapanel.llm.staging import column_or_null, small_batches
 
 #: Hashes of a fingerprint, 32 bits each.
 SKETCH = 128
 #: Bytes of text in one range of documents, and the most ranges (their first ids are broadcast).
 RANGE_BYTES = 1 << 20
-MOST_RANGES = 20_000
+MOST_RANGES = 100_000
 
 
 def _parse(data: bytes, book: dict[int, int], ends: list[int], at: int) -> None:
@@ -171,15 +174,23 @@ def lz_fingerprints(documents: DataFrame) -> DataFrame:
     docs = docs.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63))))
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(min(MOST_RANGES, 1 + n_bytes // RANGE_BYTES))
-    found = docs.agg(F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], max(10_000, 20 * n))).first()[0] or []
-    splits = sorted({float(x) for x in found}) if n > 1 else []
-    parts = Bucketizer(splits=[float("-inf"), *(splits or [0.0]), float("inf")], inputCol="at", outputCol="part")
-    placed = parts.transform(docs.withColumn("at", F.col("id").cast("double"))).withColumn("part", F.col("part").cast("int"))
-    # One row for each range, of which there are at most MOST_RANGES.
-    firsts = placed.groupBy("part").agg(F.min(F.struct("id", "h")).alias("f")).orderBy("part").collect()
-    before = [(r["f"]["id"], r["f"]["h"], firsts[k - 1]["part"]) for k, r in enumerate(firsts)]
-    before = F.broadcast(spark.createDataFrame(before, "id long, h long, before int"))
-    own = F.struct(F.col("part").alias("part"), F.lit(False).alias("extra"))
-    sent = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("part"), F.lit(True).alias("extra"))))
-    dealt = placed.join(before, ["id", "h"], "left").withColumn("to", F.explode(sent)).select("to.part", "to.extra", "doc_id", "text", "id", "h")
+    found = docs.agg(F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], max(10_000, 5 * n))).first()[0] or []
+    # An id that takes up several ranges, as null can, has a range of its own, dealt to parts by hash.
+    hot = [float(x) for x, c in Counter(found).items() if c > 2]
+    splits = sorted({*map(float, found), *hot, *(math.nextafter(x, math.inf) for x in hot)}) if n > 1 else []
+    ranges = Bucketizer(splits=[float("-inf"), *(splits or [0.0]), float("inf")], inputCol="at", outputCol="range")
+    placed = ranges.transform(docs.withColumn("at", F.col("id").cast("double"))).withColumn("range", F.col("range").cast("int"))
+    # One row for each range and then for each part, of which there are at most about 2 * MOST_RANGES.
+    sizes = placed.groupBy("range").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum(F.octet_length("text")).alias("b")).filter(F.col("low") == F.col("high"))
+    sizes = [(r["range"], int(min(MOST_RANGES, 1 + (r["b"] or 0) // RANGE_BYTES))) for r in sizes.collect()]
+    parts = F.broadcast(spark.createDataFrame([x for x in sizes if x[1] > 2] or [(-1, 1)], "range int, parts int"))
+    share = F.floor((F.col("h") / float(1 << 64) + 0.5) * F.col("parts"))
+    placed = placed.join(parts, "range", "left").withColumn("sub", F.coalesce(F.least(share, F.col("parts") - 1), F.lit(0)).cast("int"))
+    firsts = placed.groupBy("range", "sub").agg(F.min(F.struct("id", "h")).alias("f")).orderBy("range", "sub").collect()
+    before = [(r["f"]["id"], r["f"]["h"], firsts[k - 1]["range"], firsts[k - 1]["sub"]) for k, r in enumerate(firsts)]
+    before = F.broadcast(spark.createDataFrame(before, "id long, h long, b_range int, b_sub int"))
+    own = F.struct(F.col("range").alias("range"), F.col("sub").alias("sub"), F.lit(False).alias("extra"))
+    sent = F.when(F.col("b_range").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("b_range").alias("range"), F.col("b_sub").alias("sub"), F.lit(True).alias("extra"))))
+    dealt = placed.join(before, ["id", "h"], "left").withColumn("to", F.explode(sent)).select((F.col("to.range").cast("long") * (1 << 32) + F.col("to.sub")).alias("part"), "to.extra", "doc_id", "text", "id", "h")
+    small_batches(spark)
     return dealt.repartition("part").sortWithinPartitions("part", "extra", "id", "h").mapInArrow(_stream, _DDL)
