@@ -12,19 +12,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrapanel.llm import tokens
-from terrapanel.llm.staging import column_or_null
+from terrapanel.llm.staging import column_or_null, small_batches
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 EMBED = 8
-#: Bound of the training sample: documents, and windows of each.
+#: Bounds of the training sample: documents, documents of each language at least, and windows of each.
 SAMPLE_DOCS = 2000
+LEAST_DOCS = 50
+#: Languages whose counts are broadcast.
+MOST_LANGS = 10_000
 SAMPLE_WINDOWS = 6
 UNKNOWN = "und"
 
@@ -127,16 +130,26 @@ def _sample_windows(batches):
 
 
 def learn(documents: DataFrame) -> ByteNet | None:
-    """A network from the text and lang of SAMPLE_DOCS documents, the first by a hash of their id among
-    those with a lang that are not held out; None where there are none."""
+    """A network from the text and lang of documents with a lang that are not held out, the first of each
+    language by a hash of their id: an equal share of SAMPLE_DOCS for each language, and LEAST_DOCS at
+    least; None where there are none.  Of rows of one id the least by lang and text is read."""
     doc_id = column_or_null(documents, "doc_id", "long")
     labelled = documents.select(doc_id.alias("doc_id"), column_or_null(documents, "lang", "string").alias("lang"), column_or_null(documents, "text", "string").alias("text"))
     labelled = labelled.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = labelled.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(SAMPLE_DOCS).select("doc_id")
-    sample = labelled.join(F.broadcast(chosen), "doc_id").mapInArrow(_sample_windows, "doc_id long, lang string, k int, window binary").toArrow()
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("c"))
+    few = counts.limit(MOST_LANGS + 1).collect()
+    if len(few) <= MOST_LANGS:  # else the join shuffles
+        counts = F.broadcast(documents.sparkSession.createDataFrame(few, "lang string, c long"))
+    quota = max(LEAST_DOCS, SAMPLE_DOCS // max(1, len(few)))
+    # The least hashes of a language: about four times its share of rows are ranked.
+    at = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / float(1 << 63)
+    low = labelled.select("doc_id", "lang", at.alias("at")).join(counts, "lang").filter(F.col("at") * F.col("c") <= 4.0 * quota).distinct()
+    chosen = low.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))).filter(F.col("k") <= quota).select("doc_id").distinct()
+    rows = labelled.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "r.lang", "r.text")
+    sample = rows.mapInArrow(_sample_windows, "doc_id long, lang string, k int, window binary").toArrow()
     if not len(sample):
         return None
-    sample = sample.sort_by([(c, "ascending") for c in ("doc_id", "k", "lang", "window")])
+    sample = sample.sort_by([(c, "ascending") for c in ("doc_id", "k")])
     windows = np.zeros((len(sample), WINDOW), np.uint8)
     for i, w in enumerate(sample["window"].to_pylist()):
         windows[i, : len(w)] = np.frombuffer(w, np.uint8)
@@ -174,6 +187,7 @@ def with_language(documents: DataFrame, result: str, net: ByteNet | None = None)
     column is kept, whatever its name; empty tables give an empty result.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     net = net or learn(documents)
     names = documents.columns
     frame = documents.toDF(*(f"c{k}" for k in range(len(names))))
