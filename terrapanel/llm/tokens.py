@@ -54,13 +54,14 @@ def text_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, starts, ends
 
 
-def pieces(column: pa.Array, size: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, starts, ends): runs of rows of about `size` bytes, spans relative to
-    the run's bytes."""
+def pieces(column: pa.Array, size: int = PIECE_BYTES, rows: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, starts, ends): runs of rows of about `size` bytes and at most `rows` rows,
+    spans relative to the run's bytes."""
     raw, starts, ends = text_spans(column)
     i, n = 0, len(starts)
     while i < n:
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + size, "right")))
+        j = min(j, i + rows) if rows else j
         base = starts[i]
         yield i, j, raw[base : max(base, ends[j - 1])], starts[i:j] - base, ends[i:j] - base
         i = j
