@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from terrapanel.functions import scalar as S
 from terrapanel.operators.crosswalk import resolve_names
 from terrapanel.operators.joins import densify, first_by, pivot_mean, symmetric_pairs
+from terrapanel.operators.quality import require_empty, vintage_flags
 from terrapanel.operators.spatial import snap
 from terrapanel.operators.windows import fill_forward
+from terrapanel.sources.upsert import update_existing, with_constant
 
 #: Place codes that were renamed or merged, and a split that has no successor.
 CODE_CHANGES = {"02270": "02158", "46113": "46102", "51515": "51019"}
@@ -87,11 +89,20 @@ def in_states(code: Column) -> Column:
     return F.substring(code, 1, 2).try_cast("int") < 60
 
 
+#: Prefixes of the states that lie apart from the others.
+APART = ("02", "15")
+
+
+def is_contiguous(code: Column, lat: Column, lon: Column) -> Column:
+    """Whether a place lies in the contiguous states: by its code, and with a known centroid."""
+    return F.coalesce(in_states(code) & ~F.substring(code, 1, 2).isin(*APART), F.lit(False)) & lat.isNotNull() & lon.isNotNull()
+
+
 def county_dimension(raw: DataFrame) -> DataFrame:
-    """(place, state, name, lat, lon, land_area_sqmi) from a gazetteer; territories go."""
+    """(place, state, name, lat, lon, land_area_sqmi, is_conus) from a gazetteer; territories go."""
     place = S.zero_padded(F.trim("GEOID"), 5)
     out = raw.select(place.alias("place"), F.trim("USPS").alias("state"), F.trim("NAME").alias("name"), S.number(F.col("INTPTLAT")).alias("lat"), S.number(F.col("INTPTLONG")).alias("lon"), S.number(F.col("ALAND_SQMI")).alias("land_area_sqmi"))
-    return out.filter(in_states(F.col("place")))
+    return out.filter(in_states(F.col("place"))).withColumn("is_conus", is_contiguous(F.col("place"), F.col("lat"), F.col("lon")))
 
 
 def population(raw: DataFrame) -> DataFrame:
@@ -99,6 +110,16 @@ def population(raw: DataFrame) -> DataFrame:
     return raw.select(F.concat(S.zero_padded(F.col("state"), 2), S.zero_padded(F.col("county"), 3)).alias("place"), F.col("P1_001N").try_cast("long").alias("population"))
 
 
+def backfill_population(places: DataFrame, raw: DataFrame, required: Sequence[str] = (), forbidden: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(places with population where the source has it, one row of how many are populated and null).  The
+    source must have the required place keys and none of the forbidden ones, which tell its vintage."""
+    source = population(raw)
+    flags = vintage_flags(source, "place", required, forbidden)
+    require_empty(flags.filter("not (required_present and forbidden_absent)"), "population of another vintage")
+    filled = update_existing(places, source.dropDuplicates(["place"]), ["place"], ["population"])
+    return filled, filled.agg(F.count("population").alias("n_populated"), F.count_if(F.col("population").isNull()).alias("n_null"))
+
+
 def adjacency(lines: DataFrame, remap: Mapping[str, str] = CODE_CHANGES, split: Sequence[str] = CODES_SPLIT) -> DataFrame:
     """Distinct (place, neighbour) from read_adjacency(): the place of a block stands on its first line."""
     filled = fill_forward(lines, "place", "line", ["path"])
@@ -106,21 +127,28 @@ def adjacency(lines: DataFrame, remap: Mapping[str, str] = CODE_CHANGES, split:
     return symmetric_pairs(padded, remap, split, in_states)
 
 
-def outbreaks(raw: DataFrame, master: DataFrame) -> DataFrame:
-    """(place, day, flock_type, confirmed, birds) from poultry detections; unresolved rows go.  The birds
-    of a key are null where all are."""
-    rows = resolve_names(raw, master, "State", "County Name")
+def _resolved(rows: DataFrame, state: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with a place, rejects): the rejects are counted by the names that no place has."""
+    lost = rows.filter("place is null").groupBy(F.col(state).alias("state_name"), F.col(name).alias("place_name")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return rows.filter("place is not null"), lost
+
+
+def outbreaks(raw: DataFrame, master: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((place, day, flock_type, birds, confirmed), rejects) of poultry detections; rejects (state_name,
+    place_name, n_rows) are the names that resolve to no place.  The birds of a key are null where all are."""
+    rows, rejects = _resolved(resolve_names(raw, master, "State", "County Name"), "State", "County Name")
     kind = F.coalesce(F.nullif(F.trim("Production"), F.lit("")), F.lit("unknown"))
     rows = rows.select("place", S.day_of(F.col("Confirmed Diagnosis")).alias("day"), kind.alias("flock_type"), S.number(F.replace("Affected", F.lit(","), F.lit(""))).cast("long").alias("birds"))
-    return rows.dropna(subset=["place", "day"]).groupBy("place", "day", "flock_type").agg(F.sum("birds").alias("birds")).withColumn("confirmed", F.lit(True))
+    found = rows.dropna(subset=["day"]).groupBy("place", "day", "flock_type").agg(F.sum("birds").alias("birds"))
+    return with_constant(found, "confirmed", True), rejects
 
 
-def wild_detections(raw: DataFrame, master: DataFrame) -> DataFrame:
-    """(place, day, detection_count, n_species): the day of collection, else of detection."""
-    rows = resolve_names(raw, master, "State", "County")
+def wild_detections(raw: DataFrame, master: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((place, day, detection_count, n_species), rejects): the day of collection, else of detection."""
+    rows, rejects = _resolved(resolve_names(raw, master, "State", "County"), "State", "County")
     day = F.coalesce(S.day_of(F.col("Collection Date")), S.day_of(F.col("Date Detected")))
-    rows = rows.select("place", day.alias("day"), F.col("Bird Species").alias("species")).dropna(subset=["place", "day"])
-    return rows.groupBy("place", "day").agg(F.count(F.lit(1)).alias("detection_count"), F.count_distinct("species").alias("n_species"))
+    rows = rows.select("place", day.alias("day"), F.col("Bird Species").alias("species")).dropna(subset=["day"])
+    return rows.groupBy("place", "day").agg(F.count(F.lit(1)).alias("detection_count"), F.count_distinct("species").alias("n_species")), rejects
 
 
 def complete_stations(stations: DataFrame, inventory: DataFrame, elements: Sequence[str] = ("TMAX", "TMIN", "PRCP"), first: int = 2020, last: int = 2026) -> DataFrame:

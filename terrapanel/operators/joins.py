@@ -68,7 +68,7 @@ def top_rows(rows: DataFrame, by: str, k: int, tie: str) -> DataFrame:
 
 
 def both_ends(rows: DataFrame, by: str, head: int, tail: int, tie: str) -> DataFrame:
-    """The first `head` and last `tail` rows by `by`, descending."""
-    first = rows.orderBy(F.desc(by), tie).limit(head)
-    last = rows.orderBy(F.asc(by), F.desc(tie)).limit(tail)
+    """The first `head` and last `tail` rows by `by`, descending, nulls last."""
+    first = rows.orderBy(F.desc_nulls_last(by), tie).limit(head)
+    last = rows.orderBy(F.asc_nulls_first(by), F.desc(tie)).limit(tail)
     return first.union(last).distinct()

@@ -78,6 +78,11 @@ def load_profile(rows: DataFrame, key: str, distance: str | None = None) -> Data
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count_distinct(key).alias("n_keys"), far.alias("max_distance"))
 
 
+def spot_check(rows: DataFrame, key: str, keys: Sequence) -> DataFrame:
+    """The rows of named keys, for a look at places whose figures are known."""
+    return rows.filter(F.col(key).isin(*keys))
+
+
 def suppression_counts(wide: DataFrame, governed_by: dict[str, str]) -> DataFrame:
     """(measure, n_suppressed, n_zero, n_present): withheld (null with operations), zero and positive."""
     parts = []

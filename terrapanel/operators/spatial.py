@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrapanel.functions.geo import EARTH_KM, angle_between, bearing_deg, distance_km
+from terrapanel.sources.shared import kept
 
 #: Flyways by state, and their breeding and wintering points (latitude, longitude).
 FLYWAY_STATES = {
@@ -99,12 +100,14 @@ def nearest(points: DataFrame, places: DataFrame, k: int, radius_km: float | Non
         km = distance_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
         near = grid.around(open_, "lat", "lon").join(right, ["cy", "cx"]).select("id", "place", km.alias("distance_km")).filter(F.col("distance_km") <= radius_km)
         ranked = near.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
+        if radius_km < whole:
+            ranked = kept(ranked, "nearest")  # later rounds read what this one has found
         if radius_km >= whole:
             return ranked if out is None else out.unionByName(ranked)
         full = ranked.filter(F.col("rank") == k - 1).select("id").distinct()
         done = ranked.join(full, "id", "left_semi")
         out = done if out is None else out.unionByName(done)
-        open_ = open_.join(full, "id", "left_anti")
+        open_ = kept(open_.join(full, "id", "left_anti"), "nearest-open")
         if n < k or not open_.take(1):
             if n >= k:
                 return out

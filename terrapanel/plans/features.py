@@ -112,6 +112,18 @@ def county_day(places: DataFrame, calendar: DataFrame, edges: DataFrame, outbrea
     return joined.select(*(made[c][1].alias(c) for c in wanted))
 
 
+def model_column_names() -> list[str]:
+    """The columns of the model table, in order."""
+    exposure = [*EXPOSURE_COUNTS, *EXPOSURE_MEASURES]
+    return [
+        "place", "day", "state", "name", "flyway", "lat", "lon", "population", "land_area_sqmi", "pop_density_sqmi", "n_neighbors", "is_conus", *exposure,
+        "year", "month", "iso_week", "day_of_year", "season", "is_us_holiday", "doy_sin", "doy_cos", "outbreak", "outbreak_events", "birds_affected",
+        "target_outbreak_next_7d", "target_outbreak_next_14d", "target_complete_7d", "target_complete_14d", "temp_min_c", "temp_max_c", "precip_mm", "has_weather",
+        "precip_7d_mm", "temp_min_7d_c", "temp_max_7d_c", "precip_days_7d", "temp_days_7d", "wild_detections", "wild_n_species", "band_count", "has_band_coverage",
+        *LAG_COUNTS, "breeding_side_pressure", "wintering_side_pressure", *NEIGHBOUR_COUNTS, *RECENCY, "post_count", "sentiment_mean", "sentiment_neg_share",
+    ]
+
+
 def _model_columns() -> dict[str, tuple[set[str], Column]]:
     """By name, in order: the columns that each column of the model table is made of, and how."""
     out: dict[str, tuple[set[str], Column]] = {}

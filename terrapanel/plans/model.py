@@ -70,6 +70,13 @@ def design_matrix(rows: DataFrame, split_day: str, banding: bool = False, keep:
     return x.select(*keep, *columns)
 
 
+def design_columns(banding: bool = False) -> list[str]:
+    """The columns that design_matrix() makes, in order."""
+    censored = [n for c in CENSORED for n in (f"{c}_censored", c)]
+    bands = ["log_band_count_21d", "log_nbr_band_count_21d"] if banding else []
+    return [*(f"log_{c}" for c in COUNTS), *censored, "layer_inventory_suppressed", "log_layer_inventory", *bands, *PLAIN, "weather_missing"]
+
+
 def feature_columns(x: DataFrame, keep: Sequence[str] = ("place", "day", LABEL)) -> list[str]:
     return [c for c in x.columns if c not in keep]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -19,8 +20,8 @@ from terrapanel.plans import features as P
 from terrapanel.plans import model as M
 from terrapanel.plans.text import lexicon_score, score_with, sentiment_rollup
 from terrapanel.plans.views import DISLIKED, LIKED, Views
-from terrapanel.sources import snapshots, upsert
-from terrapanel.sources.shared import kept
+from terrapanel.sources import readers, snapshots, upsert
+from terrapanel.sources.shared import kept, shared_folder
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -295,8 +296,8 @@ _query("vintage_guard", "SELECT coalesce(bool_or(s_suppkey = 1), FALSE) AND coal
 _query("row_audit", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in ("region", "nation", "supplier", "orders", "lineitem")))(lambda v: Q.row_audit({t: v.table(t) for t in ("region", "nation", "supplier", "orders", "lineitem")}))
 _query("load_profile", "SELECT count(*) AS n_rows, min(day) AS first_day, max(day) AS last_day, count(DISTINCT place) AS n_keys, CAST(max(precip_mm) AS DOUBLE) AS max_distance FROM weather")(lambda v: Q.load_profile(v.weather, "place", "precip_mm"))
 _query("top_k", "SELECT state, CAST(sum(detection_count) AS BIGINT) AS detections FROM wild JOIN places USING (place) GROUP BY state ORDER BY detections DESC NULLS LAST, state LIMIT 10")(lambda v: J.top_rows(v.wild.join(v.places, "place").groupBy("state").agg(F.sum("detection_count").alias("detections")), "detections", 10, "state"))
-_MISSING = ("population", "pop_density_sqmi", "temp_min_c", "layer_inventory", "days_since_outbreak_county", "flyway")
-_query("missingness", " UNION ALL ".join(f"SELECT '{c}' AS column_name, round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 6) AS null_share FROM county_day" for c in _MISSING))(lambda v: _rounded(Q.missing_shares(v.county_day, _MISSING)))
+_MISSING = tuple(P.model_column_names())
+_query("missingness", "SELECT column_name, null_share FROM (UNPIVOT (SELECT " + ", ".join(f"round(avg(CASE WHEN {c} IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS {c}" for c in _MISSING) + " FROM county_day) ON COLUMNS(*) INTO NAME column_name VALUE null_share)")(lambda v: _rounded(Q.missing_shares(v.county_day, _MISSING)))
 _query("suppression", " UNION ALL ".join(f"SELECT '{m}' AS measure, count(*) FILTER (WHERE {m} IS NULL AND {o} > 0) AS n_suppressed, count(*) FILTER (WHERE {m} = 0) AS n_zero, count(*) FILTER (WHERE {m} > 0) AS n_present FROM census" for m, o in I.GOVERNED_BY.items()))(lambda v: Q.suppression_counts(v.census, I.GOVERNED_BY))
 _query("nullable_key_join", """SELECT w.place, w.day, l.birds, a.all_birds FROM weather w LEFT JOIN (SELECT place, day, CAST(sum(birds) AS BIGINT) AS birds FROM outbreak WHERE place % 5 <> 0 GROUP BY ALL) l USING (place, day)
     LEFT JOIN (SELECT day, CAST(sum(birds) AS BIGINT) AS all_birds FROM outbreak WHERE place % 5 = 0 GROUP BY ALL) a USING (day)""")(
@@ -304,7 +305,8 @@ _query("nullable_key_join", """SELECT w.place, w.day, l.birds, a.all_birds FROM
 
 # Posts.
 
-_query("sentiment_rollup", _round_sql("place day post_count", "sentiment_mean sentiment_neg_share", "sentiment"))(lambda v: _rounded(v.sentiment.drop("lang_breakdown")))
+_LANGS = "SELECT place, day, '{' || string_agg('\"' || lang || '\":' || CAST(CAST(n AS DOUBLE) / total AS VARCHAR), ',' ORDER BY lang) || '}' AS lang_breakdown FROM (SELECT place, day, lang, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY place, day) AS BIGINT) AS total FROM scored WHERE lang IS NOT NULL GROUP BY place, day, lang) GROUP BY place, day"
+_query("sentiment_rollup", f"SELECT s.place, s.day, post_count, round(sentiment_mean, 6) AS sentiment_mean, round(sentiment_neg_share, 6) AS sentiment_neg_share, coalesce(lang_breakdown, '{{}}') AS lang_breakdown FROM sentiment s LEFT JOIN ({_LANGS}) l ON l.place = s.place AND l.day = s.day")(lambda v: _rounded(v.sentiment))
 
 
 def _count_scorer() -> Callable[[pd.Series], pd.Series]:
@@ -363,7 +365,14 @@ def _leakage_sql() -> str:
     return " UNION ALL ".join(part(c, c) for c in ("outbreak", "target_outbreak_next_7d", "population", "n_neighbors", "precip_7d_mm"))
 
 
-_query("leakage_scan", _leakage_sql())(lambda v: M.leakage_scan(v.county_day, ["outbreak", "target_outbreak_next_7d", "population", "n_neighbors", "precip_7d_mm"]))
+_query("leakage_scan", _leakage_sql())(lambda v: M.leakage_scan(v.model_columns("outbreak", "target_outbreak_next_7d", "population", "n_neighbors", "precip_7d_mm"), ["outbreak", "target_outbreak_next_7d", "population", "n_neighbors", "precip_7d_mm"]))
+
+
+@_query("leakage_scan_matrix", "SELECT column_name, column_name LIKE 'target\\_%' ESCAPE '\\' OR column_name = 'outbreak' AS banned, n_null FROM (UNPIVOT (SELECT " + ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS {c}" for c in M.design_columns()) + f" FROM ({_design_sql()}) WHERE log_population IS NOT NULL) ON COLUMNS(*) INTO NAME column_name VALUE n_null)")
+def _leakage_scan_matrix(v: Views) -> DataFrame:
+    """The gate on the whole design matrix, of rows with a population: no column leaks, none holds a null."""
+    x = kept(M.design_matrix(kept(_model_rows(v).filter("population is not null"), "model-rows"), _SPLIT), "design")
+    return M.leakage_scan(x, M.feature_columns(x))
 
 
 def _scores(v: Views) -> DataFrame:
@@ -410,7 +419,7 @@ _BLOCKS = {"neighbours": [f"log_{c}" for c in M.COUNTS if c.startswith("nbr_")],
 @_query("permutation")
 def _permutation(v: Views) -> DataFrame:
     train, test, names = _design(v)
-    return M.permutation_test(train, test, names, _BLOCKS["neighbours"], repeats=2)
+    return M.permutation_test(train, test, names, _BLOCKS["neighbours"])
 
 
 @_query("ablation")
@@ -419,6 +428,71 @@ def _ablation(v: Views) -> DataFrame:
     return M.ablation(train, test, names, _BLOCKS)
 
 
+# Landed files: raw text written from the tables and read as a source would be.
+
+
+def _landed(v: Views, name: str) -> str:
+    return f"{shared_folder(v.spark)}/landed-{name}-{uuid.uuid4().hex}"
+
+
+_GAZETTEER = "SELECT lpad(CAST(s_suppkey % 72 * 1000 + s_suppkey % 1000 AS VARCHAR), 5, '0') AS place, ['VA', 'MO', 'NV'][s_suppkey % 3 + 1] AS state, 'Doña ' || CAST(s_suppkey AS VARCHAR) AS name, CASE WHEN s_suppkey % 17 <> 0 THEN CAST(s_suppkey % 90 AS DOUBLE) END AS lat, CAST(-(s_suppkey % 180) AS DOUBLE) AS lon, CAST(s_suppkey AS DOUBLE) AS land_area_sqmi FROM supplier"
+
+
+@_query("county_dimension", f"SELECT *, substr(place, 1, 2) NOT IN ('02', '15') AND lat IS NOT NULL AS is_conus FROM ({_GAZETTEER}) WHERE substr(place, 1, 2) < '60'")
+def _county_dimension(v: Views) -> DataFrame:
+    k = F.col("s_suppkey")
+    raw = v.table("supplier").select(
+        (k % 72 * 1000 + k % 1000).cast("string").alias("GEOID"), F.element_at(F.array(*map(F.lit, ("VA", "MO", "NV"))), (k % 3 + 1).cast("int")).alias("USPS"), F.concat(F.lit("Do\u00f1a "), k.cast("string")).alias("NAME"),
+        k.cast("string").alias("ALAND_SQMI"), F.when(k % 17 != 0, (k % 90).cast("string")).alias("INTPTLAT"), (-(k % 180)).cast("string").alias("INTPTLONG  "),
+    )
+    raw.write.option("header", True).option("sep", "\t").option("encoding", "ISO-8859-1").csv(path := _landed(v, "gazetteer"))
+    return I.county_dimension(readers.read_csv(v.spark, path, "\t", "ISO-8859-1"))
+
+
+def _detections(v: Views) -> DataFrame:
+    """Poultry detections as a file of text: a line for each heavy line of an order."""
+    rows = v.lines.filter("l_quantity >= 45").join(v.named_rows, F.col("place") == F.col("row_id"))
+    kind = F.when(F.col("l_linenumber") % 4 == 0, " ").when(F.col("l_linenumber") % 4 == 1, F.lit(None)).otherwise(F.concat(F.lit(" "), F.col("l_linestatus")))
+    birds = F.when(F.col("l_linenumber") % 3 != 0, F.format_number(F.col("l_quantity") * 100, 0))
+    written = F.when(F.col("l_linenumber") % 2 == 0, F.date_format("day", "M/d/yyyy")).when(F.col("l_linenumber") % 7 != 0, F.date_format("day", "yyyy-MM-dd")).otherwise("unknown")
+    raw = rows.select(F.col("state_name").alias("State"), F.col("place_name").alias("County Name"), written.alias("Confirmed Diagnosis"), kind.alias("Production"), birds.alias("Affected"))
+    raw.write.option("header", True).csv(path := _landed(v, "detections"))
+    return readers.read_csv(v.spark, path)
+
+
+_VIEW_SQL["resolved"] = f"""SELECT row_id, min(m.place) AS place FROM (SELECT row_id, CASE lower(trim(state_name)) WHEN 'virginia' THEN 'VA' WHEN 'missouri' THEN 'MO' WHEN 'nevada' THEN 'NV' END AS code, {_KEY.format('place_name', '|city')} AS full_key, {_KEY.format('place_name', '')} AS plain_key FROM named_rows) r
+    LEFT JOIN (SELECT place, state, {_KEY.format('name', '|city')} AS k FROM master) m ON m.state = r.code AND m.k IN (r.full_key, r.plain_key) GROUP BY row_id"""
+_query("outbreak_file", """SELECT r.place, day, CASE WHEN l_linenumber % 4 > 1 THEN l_linestatus ELSE 'unknown' END AS flock_type, CAST(sum(CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity * 100 END) AS BIGINT) AS birds, TRUE AS confirmed
+    FROM lines l JOIN resolved r ON r.row_id = l.place WHERE l_quantity >= 45 AND r.place IS NOT NULL AND (l_linenumber % 2 = 0 OR l_linenumber % 7 <> 0) GROUP BY ALL""")(lambda v: I.outbreaks(_detections(v), v.master)[0])
+_query("outbreak_rejects", "SELECT trim(state_name) AS state_name, trim(place_name) AS place_name, count(*) AS n_rows FROM lines l JOIN named_rows n ON n.row_id = l.place JOIN resolved r ON r.row_id = l.place WHERE l_quantity >= 45 AND r.place IS NULL GROUP BY ALL")(
+    lambda v: I.outbreaks(_detections(v), v.master)[1].select(F.trim("state_name").alias("state_name"), F.trim("place_name").alias("place_name"), "n_rows"))
+
+
+@_query("filtered_snapshot", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority, o_orderstatus FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
+def _filtered_snapshot(v: Views) -> DataFrame:
+    snapshots.filtered_snapshot(v.table("orders").select("o_orderkey", "o_orderpriority", "o_orderstatus"), (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F"), path := _landed(v, "snapshot"))
+    return readers.read_csv(v.spark, path, "\t")
+
+
+@_query("population_backfill", "SELECT lpad(CAST(s_suppkey % 100000 AS VARCHAR), 5, '0') AS place, CASE WHEN s_suppkey % 4 = 0 THEN CAST(s_suppkey * 11 AS BIGINT) WHEN s_suppkey % 4 <> 1 THEN CAST(s_suppkey AS BIGINT) END AS population FROM supplier")
+def _population_backfill(v: Views) -> DataFrame:
+    """A census table as JSON arrays, one file for each part of it, against places that lack some figures."""
+    k = F.col("s_suppkey")
+    code = F.lpad((k % 100000).cast("string"), 5, "0")
+    places = v.table("supplier").select(code.alias("place"), F.when(k % 4 != 1, k.cast("long")).alias("population"))
+    row = F.array((k * 11).cast("string"), F.substring(code, 1, 2).cast("int").cast("string"), F.substring(code, 3, 3).cast("int").cast("string"))
+    parts = v.table("supplier").filter("s_suppkey % 4 = 0").groupBy(F.floor(k / 1000).alias("part")).agg(F.collect_list(row).alias("rows"))
+    header = F.array(F.array(*map(F.lit, ("P1_001N", "state", "county"))))
+    parts.repartition("part").select(F.to_json(F.concat(header, "rows")).alias("value")).write.option("lineSep", "\n").text(path := _landed(v, "population"))
+    return I.backfill_population(places, readers.read_json_lines(v.spark, path), forbidden=["99999"])[0]
+
+
+_query("rank_ends", "SELECT place, n FROM (SELECT place, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, place) AS a, row_number() OVER (ORDER BY count(*), place DESC) AS b FROM lines GROUP BY place) WHERE a <= 5 OR b <= 3")(lambda v: J.both_ends(v.lines.groupBy("place").agg(F.count(F.lit(1)).alias("n")), "n", 5, 3, "place"))
+_query("spot_check", "SELECT place, day, band_count FROM band WHERE place IN (3, 7)")(lambda v: Q.spot_check(v.band, "place", [3, 7]))
+_query("upsert_constant", "SELECT k, a, 'loaded' AS b FROM new_rows UNION ALL SELECT k, a, b FROM old_rows WHERE k NOT IN (SELECT k FROM new_rows)")(lambda v: upsert.upsert(_old(v), upsert.with_constant(_new(v), "b", "loaded"), ["k"]))
+_query("table_columns", "SELECT c_custkey, c_acctbal FROM customer")(lambda v: readers.read_table(v.spark, f"{v.dir}/customer.parquet", "c_custkey", "c_acctbal"))
+
+
 @_query("snapshot_manifest")
 def _snapshot_manifest(v: Views) -> DataFrame:
     return snapshots.manifest(v.spark, f"{v.dir}/orders.parquet", "orders", "landed", "2024-01-01", v.table("orders"))

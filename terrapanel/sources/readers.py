@@ -64,6 +64,14 @@ def read_json_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("n > 0").select(*(F.col("row")[k].alias(name) for k, name in enumerate(header)))
 
 
+def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Files of such tables, one on each line and each with its header, as text columns; headers are the
+    same.  A large table comes in many lines, since one of them is one task's."""
+    rows = spark.read.text(path).select(F.posexplode(F.from_json("value", "array<array<string>>")).alias("n", "row"))
+    header = rows.filter("n = 0").select("row").first()[0]
+    return rows.filter("n > 0").select(*(F.col("row")[k].alias(name) for k, name in enumerate(header)))
+
+
 def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     """A warehouse table, the named columns only."""
     df = spark.read.parquet(path)

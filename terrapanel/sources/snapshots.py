@@ -13,7 +13,8 @@ def filtered_snapshot(raw: DataFrame, condition: Column, path: str) -> None:
 
 def manifest(spark: SparkSession, path: str, source: str, url: str, day: str, rows: DataFrame | None = None, notes: str = "") -> DataFrame:
     """(source, source_url, capture_date, path, sha256, size, row_count, notes), one row for each file.
-    row_count is of all files together, null without `rows`."""
+    row_count is of all files together, null without `rows`.  A file is read whole by one task: snapshots are
+    written in files below 2 GB, and Spark refuses a larger one here."""
     files = spark.read.format("binaryFile").load(path)
     n = rows.count() if rows is not None else None
     return files.select(F.lit(source).alias("source"), F.lit(url).alias("source_url"), F.to_date(F.lit(day)).alias("capture_date"), "path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), F.lit(n).cast("long").alias("row_count"), F.lit(notes).alias("notes"))

@@ -1,13 +1,15 @@
 """Idempotent merges of a source into a target by key; plain Parquet has no MERGE.
 
-Each gives the table as it should be; publish() writes it beside the old one and then swaps.
+Each gives the table as it should be; publish() writes it beside the old one and then swaps.  Keys must be
+unique and not null on both sides: primary_key_violations() tells, and a null key never matches, so that
+its row would be added again by each run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -53,16 +55,28 @@ def with_constant(rows: DataFrame, column: str, value) -> DataFrame:
 
 def publish(table: DataFrame, path: str) -> None:
     """Writes a table that may have been computed from what lies at path: first beside it, then in its
-    place, by renames."""
+    place, by renames.  A run that ended between the renames has left the old table beside its place; it is
+    put back by recover(), which readers and the next publish() call first."""
     spark = table.sparkSession
+    recover(spark, path)
     new, old = f"{path.rstrip('/')}__new", f"{path.rstrip('/')}__old"
     table.write.mode("overwrite").parquet(new)
-    jvm = spark.sparkContext._jvm
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    at, fs = _files(spark, path)
     if fs.exists(at(path)):
         fs.delete(at(old), True)
         fs.rename(at(path), at(old))
     fs.rename(at(new), at(path))
     fs.delete(at(old), True)
     spark.catalog.refreshByPath(path)
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """Puts back a table that publish() had moved aside and not replaced; whether there was one."""
+    at, fs = _files(spark, path)
+    old = f"{path.rstrip('/')}__old"
+    return not fs.exists(at(path)) and fs.exists(at(old)) and fs.rename(at(old), at(path))
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return at, at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

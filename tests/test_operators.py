@@ -110,10 +110,13 @@ def test_outbreaks_and_detections(spark):
     master = spark.createDataFrame([("19001", "IA", "Adair County")], "place string, state string, name string")
     rows = [("Iowa", "Adair", "2024-01-01", "Layer", "10"), ("Iowa", "Adair", "2024-01-01", "Layer", None), ("Iowa", "Adair", "2024-01-02", None, None), ("Iowa", "Nowhere", "2024-01-02", None, "5")]
     raw = spark.createDataFrame(rows, "State string, `County Name` string, `Confirmed Diagnosis` string, Production string, Affected string")
-    got = {(r["day"], r["flock_type"]): r["birds"] for r in ingest.outbreaks(raw, master).collect()}
+    clean, rejects = ingest.outbreaks(raw, master)
+    got = {(r["day"], r["flock_type"]): r["birds"] for r in clean.collect()}
+    assert [tuple(r) for r in rejects.collect()] == [("Iowa", "Nowhere", 1)] and clean.filter("confirmed").count() == 2
     assert got == {(D(2024, 1, 1), "Layer"): 10, (D(2024, 1, 2), "unknown"): None}
     birds = [("Iowa", "Adair", "2024-03-01", None, s) for s in ("a", "a", None)] + [("Iowa", "Adair", "", "2024-03-02", "b")]
-    wild = ingest.wild_detections(spark.createDataFrame(birds, "State string, County string, `Collection Date` string, `Date Detected` string, `Bird Species` string"), master)
+    wild, rejects = ingest.wild_detections(spark.createDataFrame(birds, "State string, County string, `Collection Date` string, `Date Detected` string, `Bird Species` string"), master)
+    assert rejects.count() == 0
     assert sorted(tuple(r)[1:] for r in wild.collect()) == [(D(2024, 3, 1), 3, 1), (D(2024, 3, 2), 1, 1)]
 
 
@@ -257,3 +260,31 @@ def test_sentiment(spark):
     assert json.loads(out["lang_breakdown"]) == pytest.approx({"en": 2 / 3, "fr": 1 / 3})
     scored = text.score_with(posts, lambda: lambda s: s.str.len() / 10.0)
     assert sorted((r["score"] for r in scored.collect()), key=str) == [0.7, 1.0, None]
+
+
+def test_contiguous_states(spark):
+    rows = spark.createDataFrame([("01001", 30.0, -86.0), ("02020", 61.0, -150.0), ("15003", 21.0, -158.0), ("72001", 18.0, -66.0), ("48001", None, -95.0), (None, 1.0, 1.0)], "code string, lat double, lon double")
+    assert [r[0] for r in rows.select(ingest.is_contiguous(*map(F.col, ("code", "lat", "lon")))).collect()] == [True, False, False, False, False, False]
+
+
+def test_population_backfill_keeps_its_gate(spark):
+    places = spark.createDataFrame([("01001", None), ("01003", 5)], "place string, population long")
+    raw = spark.createDataFrame([("7", "1", "1"), ("9", "1", "3"), ("9", "1", "5")], "P1_001N string, state string, county string")
+    filled, report = ingest.backfill_population(places, raw, required=["01001"], forbidden=["09999"])
+    assert sorted(map(tuple, filled.collect())) == [("01001", 7), ("01003", 9)] and tuple(report.first()) == (2, 0)
+    with pytest.raises(quality.QualityError):
+        ingest.backfill_population(places, raw, required=["09999"])
+
+
+def test_publish_recovers_a_table_moved_aside(spark, tmp_path):
+    path = str(tmp_path / "t")
+    upsert.publish(spark.range(3), path)
+    (tmp_path / "t").rename(tmp_path / "t__old")
+    assert upsert.recover(spark, path) and spark.read.parquet(path).count() == 3 and not upsert.recover(spark, path)
+
+
+def test_key_share_repeats_and_spreads(spark):
+    from terrapanel.plans.model import key_share
+
+    out = spark.range(4000).select(key_share("id").alias("a"), key_share("id", seed=1).alias("b")).toPandas()
+    assert (out["a"] != out["b"]).mean() > 0.9 and 0.08 < (out["a"] < 0.1).mean() < 0.12 and out.min().min() >= 0 and out.max().max() < 1
