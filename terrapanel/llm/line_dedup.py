@@ -37,7 +37,8 @@ def remove_repeated_windows(documents: DataFrame, window: int = 3, n_lines: str
     equal doc_id and text are one document for this order and are treated alike; rows of equal doc_id and
     different text are ordered by a hash of the text; a null doc_id comes first.
 
-    A null text stays null with n_lines 0; an empty text is one line; documents of fewer than `window`
+    Texts are read whole: a very long one costs its task a few times its own size, and no more lines of a
+    text are held than it has.  A null text stays null with n_lines 0; an empty text is one line; documents of fewer than `window`
     lines are kept.  A document of which every line goes has an empty text.  All columns are kept,
     whatever their names (the two counts replace columns of the same name); empty tables give an empty result.
     """

@@ -164,6 +164,8 @@ def lz_fingerprints(documents: DataFrame) -> DataFrame:
     points), edited_sha256, fingerprint and edited_fingerprint (SKETCH 32-bit hashes in hexadecimal, or
     fewer where there are fewer phrases), near_edited and near_next (0 to 1).
 
+    Texts are parsed whole, one after the other, so a very long one costs its own size and dictionary.  Rows of
+    equal id and hash, which are equal texts, have no order among them and need none.
     A null text is an empty one: no phrases, an empty fingerprint, alike only to another empty one.  Equal
     texts have equal fingerprints.  A single document is its own next one; repeated rows follow each
     other; an empty table gives an empty result.
