@@ -55,3 +55,18 @@ kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS kept FROM x ANTI
 SELECT doc_id, coalesce(len(l), 0) AS n_lines, coalesce(removed, 0) AS n_removed, CASE WHEN removed IS NULL THEN text ELSE coalesce(kept, '') END AS text
 FROM d LEFT JOIN (SELECT doc_id, count(*) AS removed FROM gone GROUP BY doc_id) USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+COLLOCATIONS = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase FROM w CROSS JOIN (VALUES (1), (2), (3)) s(size) WHERE len(w) >= size),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10),
+cut AS (SELECT lang, phrase, size, f AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS x, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS y FROM f JOIN (VALUES (1), (2)) c(k) ON k < size),
+scored AS (SELECT c.*, u.f AS l, v.f AS r, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(u.f AS HUGEINT) * v.f) AS BIGINT) AS score FROM cut c JOIN f u ON u.lang = c.lang AND u.phrase = x JOIN f v ON v.lang = c.lang AND v.phrase = y),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, phrase, max(f) AS longer FROM (SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS phrase FROM f WHERE size = 3) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrapanel.llm import oracle
+from terrapanel.llm.collocations import collocations
 from terrapanel.llm.decontaminate import contamination
 from terrapanel.llm.lang_id import language_id
 from terrapanel.llm.license_scan import license_findings
@@ -78,14 +79,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op13_collocation_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_merkle_fixity_audit, op2_feistel_pseudonyms, op3_ngram_jaccard_join, op4_license_scan, op5_language_id,
-        op6_benchmark_decontamination, op7_quality_knn, op8_lz_fingerprints, op9_source_mixing, op10_line_dedup,
+        op6_benchmark_decontamination, op7_quality_knn, op8_lz_fingerprints, op9_source_mixing, op10_line_dedup, op13_collocation_mining,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others are learned, keyed with a permutation, or rounded by a rule that SQL does not express."""
-    return {"op1_merkle_fixity_audit": oracle.MERKLE, "op3_ngram_jaccard_join": oracle.NGRAMS, "op6_benchmark_decontamination": oracle.CONTAMINATION, "op10_line_dedup": oracle.LINES}
+    return {"op1_merkle_fixity_audit": oracle.MERKLE, "op3_ngram_jaccard_join": oracle.NGRAMS, "op6_benchmark_decontamination": oracle.CONTAMINATION, "op10_line_dedup": oracle.LINES, "op13_collocation_mining": oracle.COLLOCATIONS}
