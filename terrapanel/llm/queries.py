@@ -16,9 +16,11 @@ from terrapanel.llm.line_dedup import line_dedup
 from terrapanel.llm.lz_fingerprint import lz_fingerprints
 from terrapanel.llm.merkle import audit
 from terrapanel.llm.mixing import entropy_mix
+from terrapanel.llm.multiprobe import nearest_neighbours
 from terrapanel.llm.ngram_join import ngram_jaccard_components
 from terrapanel.llm.pii import pseudonymize
 from terrapanel.llm.quality_knn import quality_votes
+from terrapanel.llm.whitening import whiten
 
 #: The key of the registered pseudonyms; a deployment passes its own.
 DEMO_KEY = "terrapanel demonstration key"
@@ -79,6 +81,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op12_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_collocation_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
@@ -86,7 +96,8 @@ def op13_collocation_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_merkle_fixity_audit, op2_feistel_pseudonyms, op3_ngram_jaccard_join, op4_license_scan, op5_language_id,
-        op6_benchmark_decontamination, op7_quality_knn, op8_lz_fingerprints, op9_source_mixing, op10_line_dedup, op13_collocation_mining,
+        op6_benchmark_decontamination, op7_quality_knn, op8_lz_fingerprints, op9_source_mixing, op10_line_dedup, op11_embedding_whitening, op12_multiprobe_neighbours,
+        op13_collocation_mining,
     )
     return {f.__name__: f for f in found}
 
