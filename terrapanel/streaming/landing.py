@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from terrapanel.sources.upsert import publish, upsert
+from terrapanel.sources.store import PartStore, create_keyed, merge_all
 
 
 def mirror_arrivals(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, separator: str = ",") -> StreamingQuery:
@@ -19,20 +19,19 @@ def mirror_arrivals(spark: SparkSession, source: str, schema: str, target: str,
     return dated.writeStream.format("parquet").partitionBy("capture_date").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def merge_arrivals(spark: SparkSession, source: str, target: str, checkpoint: str, keys: Sequence[str], newest: str) -> StreamingQuery:
-    """Upserts arriving Parquet rows into a table, of several rows of a key the one with the largest
-    `newest`.  A batch that is run again gives the same table."""
+def merge_arrivals(spark: SparkSession, source: str, target: str, checkpoint: str, keys: Sequence[str], newest: str, buckets: int = 64) -> StreamingQuery:
+    """Upserts arriving Parquet rows into a stored table of `buckets` hash buckets, of several rows of a key the
+    one with the largest `newest` (ties: the greatest row).  Rows with a null in a key stay out: they are no
+    row's keys.  Only the buckets of the arrived keys are rewritten; a batch that is run again, after a stop
+    anywhere, gives the same table."""
     schema = spark.read.parquet(source).schema
 
     def merge(batch: DataFrame, _: int) -> None:
-        last = Window.partitionBy(*keys).orderBy(F.desc(newest))
-        rows = batch.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
-        try:
-            table = batch.sparkSession.read.parquet(target)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            table = rows.limit(0)
-        publish(upsert(table, rows, keys), target)
+        session, columns = batch.sparkSession, batch.columns
+        rows = batch.dropna(subset=list(keys)).groupBy(*keys).agg(F.max(F.struct(F.col(newest).alias("_newest"), *columns)).alias("_row")).select(*(F.col("_row")[c].alias(c) for c in columns))
+        store = PartStore(session, target)
+        if not store.exists():
+            create_keyed(session, target, rows.limit(0), keys, buckets)
+        merge_all(store, rows)
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

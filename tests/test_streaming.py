@@ -1,3 +1,4 @@
+from terrapanel.sources.store import PartStore
 from terrapanel.streaming.landing import merge_arrivals, mirror_arrivals
 
 
@@ -11,4 +12,4 @@ def test_arrivals_are_mirrored_and_merged_once(spark, tmp_path):
     run()
     run()
     assert spark.read.parquet(str(mirror)).count() == 4
-    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(str(table)).collect()) == [("a", 1), ("b", 2), ("c", 3)]
+    assert sorted((r["k"], r["v"]) for r in PartStore(spark, str(table)).read().collect()) == [("a", 1), ("b", 2), ("c", 3)]
