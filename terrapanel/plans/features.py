@@ -85,16 +85,22 @@ def forward_targets(outbreak: DataFrame, calendar: DataFrame, horizons: tuple[in
     return W.forward_flags(confirmed_days(outbreak), ["place"], horizons, "target_outbreak_next", calendar)
 
 
-def county_day(places: DataFrame, calendar: DataFrame, edges: DataFrame, outbreak: DataFrame, weather: DataFrame, wild: DataFrame, band: DataFrame, axis: DataFrame, census: DataFrame, pressure: DataFrame, lag: DataFrame, weather_lags: DataFrame, sentiment: DataFrame, census_year: int = 2022, columns: Sequence[str] = ()) -> DataFrame:
+def observed_days(outbreak: DataFrame, wild: DataFrame, weather: DataFrame, band: DataFrame) -> DataFrame:
+    """One row: the last day that any fact has, and the last one of the band counts."""
+    return W.horizon(outbreak, wild, weather, band).crossJoin(band.agg(F.max("day").alias("band_max_day")))
+
+
+def county_day(places: DataFrame, calendar: DataFrame, edges: DataFrame, outbreak: DataFrame, weather: DataFrame, wild: DataFrame, band: DataFrame, axis: DataFrame, census: DataFrame, pressure: DataFrame, lag: DataFrame, weather_lags: DataFrame, sentiment: DataFrame, census_year: int = 2022, columns: Sequence[str] = (), observed: DataFrame | None = None) -> DataFrame:
     """The dense model table: every place on every day up to the last observed one.
 
     Attributes of places and of days are joined before the grid is made, so only the sparse facts meet
     its rows, all on (place, day).  Only the target columns look forward; target_complete tells where
     their horizon is observed.  Counts are 0 where there is no row, measurements null.  With `columns`,
-    only these are made, and inputs that none of them needs are not joined.
+    only these are made, and inputs that none of them needs are not joined.  observed, the last days as
+    observed_days() gives them, is for a table of some places or days only.
     """
-    days = W.horizon(outbreak, wild, weather, band)
-    band_days = band.agg(F.max("day").alias("band_max_day"))
+    observed = observed_days(outbreak, wild, weather, band) if observed is None else observed
+    days, band_days = observed.select("max_day"), observed.select("band_max_day")
     exposure = census.filter(F.col("census_year") == census_year).drop("census_year")
     fixed = places.join(count_related(places, edges), "place").join(axis.select("place", "flyway"), "place", "left").join(exposure, "place", "left")
     facts = collapse(outbreak, ["place", "day"])

@@ -20,7 +20,8 @@ from terrapanel.plans import features as P
 from terrapanel.plans import model as M
 from terrapanel.plans.text import lexicon_score, score_with, sentiment_rollup
 from terrapanel.plans.views import DISLIKED, LIKED, Views
-from terrapanel.sources import readers, snapshots, upsert
+from terrapanel.plans.refresh import FeatureTables, Inputs
+from terrapanel.sources import readers, snapshots, store, upsert
 from terrapanel.sources.shared import kept, shared_folder
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,7 +171,7 @@ def _query(name: str, sql: str | None = None):
     def add(f: Callable[[Views], DataFrame]):
         _QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
         if sql:
-            _SQL[name] = _with(sql)
+            _SQL[name] = sql if sql.startswith("WITH ") else _with(sql)
         return f
 
     return add
@@ -216,6 +217,23 @@ _query("spatial_lag", "SELECT * FROM spatial_lag")(lambda v: v.spatial_lag)
 _query("rolling_measure", _round_sql("place day precip_days_7d temp_days_7d", "precip_7d_mm temp_min_7d_c temp_max_7d_c", "weather_lag", 8))(lambda v: _rounded(v.weather_lag, 8))
 _DOUBLES = "lat lon land_area_sqmi pop_density_sqmi layer_inventory broiler_sales_head turkey_inventory duck_inventory poultry_sales_usd doy_sin doy_cos temp_min_c temp_max_c precip_mm precip_7d_mm temp_min_7d_c temp_max_7d_c breeding_side_pressure wintering_side_pressure sentiment_mean sentiment_neg_share"
 _query("county_day", "SELECT * REPLACE (" + ", ".join(f"round({c}, 8) AS {c}" for c in _DOUBLES.split()) + ") FROM county_day")(lambda v: _rounded(v.county_day, 8))
+
+
+def _inputs(v: Views) -> Inputs:
+    return Inputs(v.places, v.days, v.adjacency, v.pairs, v.axis, v.census, v.outbreak, v.wild, v.band, v.weather, v.sentiment.drop("lang_breakdown"))
+
+
+@_query("partial_rebuild", _SQL["county_day"])
+def _partial_rebuild(v: Views) -> DataFrame:
+    """The model table, stored without a part of one winter's lines, then rebuilt where these reach."""
+    late = F.col("day").between("1996-11-15", "1997-01-20") & (F.col("l_orderkey") % 7 == 3)
+    tables = FeatureTables(v.spark, _landed(v, "features"))
+    tables.rebuild(_inputs(v.of_lines(~late).rebuilt()))
+    changed = v.lines.filter(late).select("place", "day").distinct()
+    tables.refresh(_inputs(v.rebuilt()), dict.fromkeys(("outbreak", "wild", "band", "weather"), changed))
+    return _rounded(tables.read("county_day"), 8)
+
+
 _query("zero_neighbour", "SELECT p.place, count(a.neighbour) AS n_neighbors FROM places p LEFT JOIN (SELECT * FROM adjacency WHERE place % 7 <> 0) a USING (place) GROUP BY ALL")(lambda v: J.count_related(v.places, v.adjacency.filter("place % 7 <> 0")))
 
 # Geometry.
@@ -289,6 +307,23 @@ _query("upsert_all", "SELECT k, a, b FROM new_rows UNION ALL SELECT k, a, b FROM
 _query("upsert_preserve", "SELECT coalesce(o.k, n.k) AS k, CASE WHEN o.k IS NOT NULL THEN o.a ELSE n.a END AS a, CASE WHEN n.k IS NOT NULL THEN n.b ELSE o.b END AS b FROM old_rows o FULL JOIN new_rows n ON n.k = o.k")(lambda v: upsert.upsert_preserving(_old(v), _new(v), ["k"], ["b"]))
 _query("upsert_ignore", "SELECT k, a, b FROM old_rows UNION ALL SELECT k, a, b FROM new_rows WHERE k NOT IN (SELECT k FROM old_rows)")(lambda v: upsert.insert_missing(_old(v), _new(v), ["k"]))
 _query("upsert_update_only", "SELECT o.k, coalesce(n.a, o.a) AS a, coalesce(n.b, o.b) AS b FROM old_rows o LEFT JOIN new_rows n ON n.k = o.k")(lambda v: upsert.update_existing(_old(v), _new(v), ["k"], ["a", "b"]))
+
+
+def _stored(name: str, merge: Callable[[store.PartStore, DataFrame], list[str]]) -> None:
+    """A merge into a stored table: only the buckets of the source's keys are written again."""
+
+    def run(v: Views) -> DataFrame:
+        table = store.create_keyed(v.spark, _landed(v, f"keyed-{name}"), _old(v), ["k"], 8)
+        merge(table, _new(v))
+        return table.read()
+
+    _query(f"stored_{name}", _SQL[f"upsert_{name}"])(run)
+
+
+_stored("all", store.merge_all)
+_stored("preserve", lambda t, s: store.merge_preserving(t, s, ["b"]))
+_stored("ignore", store.merge_missing)
+_stored("update_only", lambda t, s: store.merge_existing(t, s, ["a", "b"]))
 _query("fk_offenders", "SELECT place, count(*) AS n_rows FROM outbreak WHERE place NOT IN (SELECT place FROM places WHERE is_conus) GROUP BY ALL")(lambda v: Q.foreign_key_offenders(v.outbreak, v.places.filter("is_conus"), "place"))
 _query("key_resolution", "SELECT count(*) AS total, count(*) FILTER (WHERE place % 11 <> 0) AS kept, count(*) FILTER (WHERE place % 11 = 0) AS dropped, count(DISTINCT CASE WHEN place % 11 = 0 THEN place END) AS offenders FROM outbreak")(lambda v: Q.resolution_report(v.outbreak, v.places.filter("is_conus"), "place"))
 _query("pk_violations", "SELECT place, day, count(*) AS n_rows FROM outbreak GROUP BY ALL HAVING count(*) > 1")(lambda v: Q.primary_key_violations(v.outbreak, ["place", "day"]))

@@ -6,7 +6,7 @@ from __future__ import annotations
 import uuid
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrapanel.operators import spatial as G
@@ -26,6 +26,12 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str, built: dict[str, DataFrame] | None = None):
         self.spark, self.dir, self.built = spark, sf_dir, built or {}
 
+    def of_lines(self, condition: Column) -> Views:
+        """The views as they are with only the lines for which condition holds."""
+        some = Views(self.spark, self.dir)
+        some.lines = self.lines.filter(condition)
+        return some
+
     def rebuilt(self) -> Views:
         """The same views over the facts of the lines, written in one scan of them, and the calendar that
         follows from the facts; every feature reads these."""

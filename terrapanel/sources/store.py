@@ -65,9 +65,9 @@ class PartStore:
             raise QualityError(f"no table has been committed at {self.path}")
         return self._load(version, parts)
 
-    def commit(self, rows: DataFrame, part: Column, touched: Iterable[str] | None, base: dict | None = None, settings: dict | None = None, check: Callable[[], None] | None = None) -> dict:
-        """Replaces the `touched` parts (None: all) by rows, each put in the part of column `part`, and gives the
-        new version.  rows may have been computed from the table.  check runs once the rows are written, and
+    def commit(self, rows: DataFrame, part: Column, touched: Iterable[str] | None, base: dict | None = None, settings: dict | None = None, check: Callable[[], None] | None = None, sort: Sequence[str] = ()) -> dict:
+        """Replaces the `touched` parts (None: all) by rows, each put in the part of column `part` and, in a file,
+        sorted by `sort`; gives the new version.  rows may have been computed from the table.  check runs once the rows are written, and
         before they count: what it raises leaves the table as it was."""
         base = base or self.version()
         folder = f"data/{base['number'] + 1:012d}-{uuid.uuid4().hex}"
@@ -76,7 +76,8 @@ class PartStore:
         if held is not None:
             own = own.filter(F.col(_PART).isin(held))
         # Parts are gathered by size, so that a large one is split over tasks and small ones share some.
-        own.hint("rebalance", _PART).write.option("partitionOverwriteMode", "static").partitionBy(_PART).parquet(f"{self.path}/{folder}")
+        own = own.hint("rebalance", _PART).sortWithinPartitions(_PART, *sort)
+        own.write.option("partitionOverwriteMode", "static").partitionBy(_PART).parquet(f"{self.path}/{folder}")
         if check:
             check()
         _, at, fs, _ = self._files()
