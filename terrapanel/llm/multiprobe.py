@@ -8,7 +8,8 @@ neighbour lies there, until that of a success reaches what the wanted recall nee
 that this rests on is measured: a bounded sample of the queries is searched exactly.
 
 Queries and vectors of a cell meet in blocks of bounded size.  A block passes on only the best of each query, by
-inner products in double precision, and the best over tables and blocks are the result.
+inner products in double precision, and of these only what is no worse than the best of a bounded sample of the
+vectors, which every query is compared with first.  The best over sample, tables and blocks are the result.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ CELL_ROWS = 4096
 BLOCK_ROWS = 8192
 #: Cells with several blocks, at most, on each side: the size of what is broadcast (blocks grow beyond that).
 BLOCKED_CELLS = 1 << 18
+#: Bytes of the sample of vectors that bounds what blocks pass on.
+SAMPLE_BYTES = 4 << 20
 #: Inner products held at once.
 PRODUCTS = 1 << 21
 
@@ -179,7 +182,24 @@ def probes(place: np.ndarray, ratio: float, success: float) -> tuple[np.ndarray,
     return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0) for k in range(3))
 
 
-_PROBES = pa.schema([*_COUNTED, ("query_id", pa.int64()), ("query", pa.int64()), ("embedding", pa.list_(pa.float64()))])
+def _bounded(ids: np.ndarray, rows: np.ndarray, most: int):
+    """Each query with the best of a sample, and the least score it may still need."""
+
+    def run(batches):
+        for batch in batches:
+            asked, own = _matrix(batch.column(2), float), batch.column(0).to_numpy()
+            at, row, score = _best(asked, rows, own, ids, most)
+            n = np.bincount(at, minlength=len(own))
+            offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            least = np.full(len(own), -np.inf)
+            least[n == most] = score[offsets[1:][n == most] - 1]
+            found = (pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (ids[row], score))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least), *found], names=[*batch.schema.names, "least", "ids", "scores"])
+
+    return run
+
+
+_PROBES = pa.schema([*_COUNTED, ("query_id", pa.int64()), ("query", pa.int64()), ("embedding", pa.list_(pa.float64())), ("least", pa.float64())])
 
 
 def _probed(index: Index, success: float):
@@ -208,6 +228,8 @@ def _met(most: int):
         rows, asked = (_matrix(t["embedding"].combine_chunks(), float) for t in (vectors, queries))
         ids, own = vectors["vec_id"].to_numpy(), queries["query_id"].to_numpy()
         at, row, score = _best(asked, rows, own, ids, most)
+        needed = score >= queries["least"].to_numpy()[at]
+        at, row, score = at[needed], row[needed], score[needed]
         return pa.Table.from_batches([record_batch(_NEAR, query_id=own[at], query=queries["query"].to_numpy()[at], vec_id=ids[row], score=score)])
 
     return run
@@ -247,7 +269,8 @@ def nearest_neighbours(embeddings: DataFrame, query_every: int = 20, neighbours:
     a query of its own, and a candidate for the others.  An empty table gives an empty result.
     Every vector is in the index.  A neighbour is found with a probability of about `success`; the index is
     fitted on SAMPLE_QUERIES queries (of least hash), searched exactly, and on the count and the largest norm of
-    all rows.  A cell with many vectors or queries is dealt to blocks, each of which is searched whole.
+    all rows.  The sample of vectors (of least hash) is bounded by SAMPLE_BYTES; it is one more place where neighbours
+    are found, and spares blocks from passing on what cannot be among the nearest.  A cell with many vectors or queries is dealt to blocks, each of which is searched whole.
     """
     spark = embeddings.sparkSession
     small_batches(spark)
@@ -258,7 +281,11 @@ def nearest_neighbours(embeddings: DataFrame, query_every: int = 20, neighbours:
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     kind = dict(vectors.dtypes)["embedding"]
-    asked = staged(queries.mapInArrow(_probed(index, success), f"tab int, cell long, query_id long, query long, embedding {kind}"), "ann-probes")
+    sample = vectors.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(max(1, SAMPLE_BYTES // (8 * index.directions.shape[1]))).toArrow()
+    bounded = _bounded(sample["vec_id"].to_numpy(), _matrix(sample["embedding"].combine_chunks(), float), neighbours)
+    queries = staged(queries.mapInArrow(bounded, f"query_id long, query long, embedding {kind}, least double, ids array<long>, scores array<double>"), "ann-bounds")
+    sampled = queries.select("query_id", "query", F.explode(F.arrays_zip("ids", "scores")).alias("f")).select("query_id", "query", F.col("f.ids").alias("vec_id"), F.col("f.scores").alias("score"))
+    asked = staged(queries.select("query_id", "query", "embedding", "least").mapInArrow(_probed(index, success), f"tab int, cell long, query_id long, query long, embedding {kind}, least double"), "ann-probes")
     placed = vectors.mapInArrow(_hashed(index, False), "tab int, cell long")
     cell = ["tab", "cell"]
 
@@ -277,6 +304,6 @@ def nearest_neighbours(embeddings: DataFrame, query_every: int = 20, neighbours:
 
     keys = [*cell, "row_blocks", "query_blocks"]
     left = dealt(vectors.mapInArrow(_hashed(index, True), f"tab int, cell long, vec_id long, embedding {kind}"), "row_blocks", "query_blocks", "vec_id").select(*keys, "vec_id", "embedding")
-    right = dealt(asked, "query_blocks", "row_blocks", "query_id").select(*keys, "query_id", "query", "embedding")
+    right = dealt(asked, "query_blocks", "row_blocks", "query_id").select(*keys, "query_id", "query", "embedding", "least")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_met(neighbours), _NEAR_DDL)
-    return _first(found, neighbours).select("query_id", "rank", "vec_id", "score")
+    return _first(found.unionByName(sampled), neighbours).select("query_id", "rank", "vec_id", "score")
