@@ -26,7 +26,7 @@ def spread(events: DataFrame, first: int, last: int, day: str = "day", into: str
     return events.withColumn(into, F.explode(F.sequence(F.date_add(day, first), F.date_add(day, last))))
 
 
-def trailing_sums(events: DataFrame, keys: Sequence[str], measures: Mapping[str, str], windows: Sequence[int] = WINDOWS, calendar: DataFrame | None = None) -> DataFrame:
+def trailing_sums(events: DataFrame, keys: Sequence[str], measures: Mapping[str, str], windows: Sequence[int] = WINDOWS, calendar: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """Sums of each measure over the days [day - w, day - 1] for each w.
 
     measures maps a column to the prefix of its results, `prefix_<w>d`.  A row stands wherever the widest
@@ -34,10 +34,12 @@ def trailing_sums(events: DataFrame, keys: Sequence[str], measures: Mapping[str,
 
     A sum only changes where an event enters or leaves a window.  Each key and day gives one entry and one
     exit for each window; running totals over these are then written out day by day, so the work follows
-    the events and the result, not events times days.
+    the events and the result, not events times days.  With parts, events are dealt by keys to so many parts
+    before they are summed: right where a key has a few rows a day, and the result stays dealt so.
     """
     wide = sorted(windows)
-    daily = events.groupBy(*keys, "day").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in measures)).repartition(*keys)
+    per_day = lambda rows: rows.groupBy(*keys, "day").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in measures))
+    daily = per_day(events).repartition(*keys) if parts is None else per_day(events.repartition(parts, *keys))
     name = lambda c, w: f"{measures[c]}_{w}d"
 
     def change(days: int, sign: int, of: Sequence[int]) -> Column:

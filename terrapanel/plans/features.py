@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrapanel.functions.scalar import ratio, year_wave
 from terrapanel.operators import windows as W
 from terrapanel.operators.joins import collapse, count_related, dense_grid
 from terrapanel.operators.spatial import sector_edges
+from terrapanel.sources.layout import dealt
 
 #: Counts of the model table that are 0 where nothing was seen; measurements stay null.
 LAG_COUNTS = [f"{name}_{w}d" for name in ("wild_detections", "band_count", "own_outbreaks") for w in W.WINDOWS]
@@ -25,30 +27,34 @@ def confirmed_days(outbreak: DataFrame) -> DataFrame:
     return outbreak.filter("confirmed").groupBy("place", "day").agg(F.count(F.lit(1)).alias("outbreak_events"))
 
 
-def spatial_lag(edges: DataFrame, outbreak: DataFrame, wild: DataFrame, band: DataFrame, calendar: DataFrame, reach: int = 365) -> DataFrame:
+def daily_counts(outbreak: DataFrame, wild: DataFrame, band: DataFrame) -> DataFrame:
+    """(place, day, outbreaks, wild, band): the three counts of each place and day that has any."""
+    names, zero = ("outbreaks", "wild", "band"), F.lit(0)
+    one = lambda df, value, name: df.select("place", "day", *((F.col(value) if c == name else zero).cast("long").alias(c) for c in names))
+    own = one(confirmed_days(outbreak), "outbreak_events", "outbreaks").unionByName(one(wild, "detection_count", "wild")).unionByName(one(band, "band_count", "band"))
+    return own.groupBy("place", "day").agg(*(F.sum(c).alias(c) for c in names))
+
+
+def spatial_lag(edges: DataFrame, own: DataFrame, calendar: DataFrame, reach: int = 365, parts: int | None = None) -> DataFrame:
     """Past-only sums of the place and of its neighbours, and recency; a row wherever any of these reach.
 
-    All counts, own and of neighbours, are one table of (place, day) with a column each, spread and summed
+    own: daily_counts().  All counts, own and of neighbours, are one table of (place, day) with a column each, spread and summed
     once; the edges are joined once.  Recency and the number of infected neighbours come of one table of
-    ages with a row per place and day.
+    ages with a row per place and day.  With parts, both are dealt by place and so is the result.
     """
-    days = confirmed_days(outbreak)
-    zero = F.lit(0)
-    one = lambda df, value, name: df.select("place", "day", *((F.col(value) if c == name else zero).cast("long").alias(c) for c in ("outbreaks", "wild", "band")))
-    own = one(days, "outbreak_events", "outbreaks").unionByName(one(wild, "detection_count", "wild")).unionByName(one(band, "band_count", "band"))
-    own = own.groupBy("place", "day").agg(*(F.sum(c).alias(c) for c in ("outbreaks", "wild", "band")))
+    days = own.filter("outbreaks > 0")
     names = {"outbreaks": "own_outbreaks", "wild": "wild_detections", "band": "band_count"}
     neighbour_names = {"outbreaks": "nbr_infections", "wild": "nbr_wild_detections", "band": "nbr_band_count"}
     both = own.select("place", "day", *(F.col(c).alias(n) for c, n in names.items()), *(F.lit(0).cast("long").alias(n) for n in neighbour_names.values()))
     around = edges.select("place", "neighbour").join(own.withColumnRenamed("place", "neighbour"), "neighbour")
     both = both.unionByName(around.select("place", "day", *(F.lit(0).cast("long").alias(n) for n in names.values()), *(F.col(c).alias(n) for c, n in neighbour_names.items())))
-    sums = W.trailing_sums(both, ["place"], {n: n for n in (*names.values(), *neighbour_names.values())}, calendar=calendar)
+    sums = W.trailing_sums(both, ["place"], {n: n for n in (*names.values(), *neighbour_names.values())}, calendar=calendar, parts=parts)
 
     ages = W.last_event_age(days, ["place"], reach, "age", calendar)
     own_age = ages.select("place", "day", F.col("age").alias("own_age"), F.lit(None).cast("int").alias("nbr_age"))
     nbr_age = edges.select("place", "neighbour").join(ages.withColumnRenamed("place", "neighbour"), "neighbour").select("place", "day", F.lit(None).cast("int").alias("own_age"), F.col("age").alias("nbr_age"))
     infected = [F.count_if(F.col("nbr_age") <= w).alias(f"nbr_infected_counties_{w}d") for w in W.WINDOWS]
-    recency = own_age.unionByName(nbr_age).groupBy("place", "day").agg(F.min("own_age").alias(RECENCY[0]), F.min("nbr_age").alias(RECENCY[1]), *infected)
+    recency = dealt(own_age.unionByName(nbr_age), "place", parts).groupBy("place", "day").agg(F.min("own_age").alias(RECENCY[0]), F.min("nbr_age").alias(RECENCY[1]), *infected)
     joined = sums.join(recency, ["place", "day"], "full")
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in (*NEIGHBOUR_COUNTS, *LAG_COUNTS)]
     return joined.select("place", "day", *counts, *RECENCY)
@@ -62,20 +68,20 @@ def weather_lag(weather: DataFrame) -> DataFrame:
     })
 
 
-def side_pressure(edges: DataFrame, detections: DataFrame, into: str, lag: int = 21, calendar: DataFrame | None = None) -> DataFrame:
+def side_pressure(edges: DataFrame, detections: DataFrame, into: str, lag: int = 21, calendar: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """(place, day, into): the weighted detections of the neighbours over the last `lag` days."""
     daily = edges.join(detections.select(F.col("place").alias("neighbour"), "day", "detection_count"), "neighbour")
-    daily = daily.groupBy("place", "day").agg(F.sum(F.col("weight") * F.col("detection_count")).alias("value"))
+    daily = dealt(daily, "place", parts).groupBy("place", "day").agg(F.sum(F.col("weight") * F.col("detection_count")).alias("value"))
     spread = W.spread(daily, 1, lag).groupBy("place", "at").agg(F.sum("value").alias(into)).withColumnRenamed("at", "day")
     return W.in_calendar(spread, calendar)
 
 
-def migration_pressure(pairs: DataFrame, axis: DataFrame, detections: DataFrame, radius_km: float = 300.0, half_width_deg: float = 45.0, decay_km: float = 150.0, lag: int = 21, calendar: DataFrame | None = None) -> DataFrame:
+def migration_pressure(pairs: DataFrame, axis: DataFrame, detections: DataFrame, radius_km: float = 300.0, half_width_deg: float = 45.0, decay_km: float = 150.0, lag: int = 21, calendar: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """Breeding-side and wintering-side pressure; a side without any is null."""
     out = None
     for side in ("breeding", "wintering"):
         edges = sector_edges(pairs, axis, f"{side}_bearing_deg", radius_km, half_width_deg, decay_km)
-        one = side_pressure(edges, detections, f"{side}_side_pressure", lag, calendar)
+        one = side_pressure(edges, detections, f"{side}_side_pressure", lag, calendar, parts)
         out = one if out is None else out.join(one, ["place", "day"], "full")
     return out
 
@@ -90,14 +96,15 @@ def observed_days(outbreak: DataFrame, wild: DataFrame, weather: DataFrame, band
     return W.horizon(outbreak, wild, weather, band).crossJoin(band.agg(F.max("day").alias("band_max_day")))
 
 
-def county_day(places: DataFrame, calendar: DataFrame, edges: DataFrame, outbreak: DataFrame, weather: DataFrame, wild: DataFrame, band: DataFrame, axis: DataFrame, census: DataFrame, pressure: DataFrame, lag: DataFrame, weather_lags: DataFrame, sentiment: DataFrame, census_year: int = 2022, columns: Sequence[str] = (), observed: DataFrame | None = None) -> DataFrame:
+def county_day(places: DataFrame, calendar: DataFrame, edges: DataFrame, outbreak: DataFrame, weather: DataFrame, wild: DataFrame, band: DataFrame, axis: DataFrame, census: DataFrame, pressure: DataFrame, lag: DataFrame, weather_lags: DataFrame, sentiment: DataFrame, census_year: int = 2022, columns: Sequence[str] = (), observed: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """The dense model table: every place on every day up to the last observed one.
 
     Attributes of places and of days are joined before the grid is made, so only the sparse facts meet
     its rows, all on (place, day).  Only the target columns look forward; target_complete tells where
     their horizon is observed.  Counts are 0 where there is no row, measurements null.  With `columns`,
     only these are made, and inputs that none of them needs are not joined.  observed, the last days as
-    observed_days() gives them, is for a table of some places or days only.
+    observed_days() gives them, is for a table of some places or days only.  With parts, places are dealt to so
+    many before the grid is made, and inputs dealt by place to as many are joined where they are.
     """
     observed = observed_days(outbreak, wild, weather, band) if observed is None else observed
     days, band_days = observed.select("max_day"), observed.select("band_max_day")
@@ -106,7 +113,7 @@ def county_day(places: DataFrame, calendar: DataFrame, edges: DataFrame, outbrea
     facts = collapse(outbreak, ["place", "day"])
     targets = forward_targets(outbreak, calendar)
     keys = ["place", "day"]
-    grid = dense_grid(fixed, calendar, days).join(F.broadcast(calendar), "day").crossJoin(F.broadcast(days)).crossJoin(F.broadcast(band_days))
+    grid = dense_grid(dealt(fixed, "place", parts), calendar, days).join(F.broadcast(calendar), "day").crossJoin(F.broadcast(days)).crossJoin(F.broadcast(band_days))
     inputs = [facts, targets, weather.withColumn("has_weather", F.lit(True)), weather_lags, wild, band, pressure, sentiment, lag]
     made = _model_columns()
     wanted = columns or list(made)
@@ -118,6 +125,82 @@ def county_day(places: DataFrame, calendar: DataFrame, edges: DataFrame, outbrea
     return joined.select(*(made[c][1].alias(c) for c in wanted))
 
 
+#: Rows before and after a day whose facts can show in it.
+_REACH = 365
+
+
+def dense_county_day(places: DataFrame, calendar: DataFrame, edges: DataFrame, outbreak: DataFrame, weather: DataFrame, wild: DataFrame, band: DataFrame, axis: DataFrame, pairs: DataFrame, census: DataFrame, sentiment: DataFrame, parts: int, census_year: int = 2022, columns: Sequence[str] = ()) -> DataFrame:
+    """county_day() in one pass over the grid, straight from the facts.
+
+    What facts and the facts of neighbours say of a place and day is gathered in one table, dealt by place, and
+    joined once to the grid, which is dealt alike and so is not shuffled.  As the grid has a row for every day,
+    all features are windows over it in the one order of place and day: trailing counts are differences of
+    running totals, different infected neighbours a running total of those that enter and leave, recency the last
+    day before.  The days begin early enough for facts from before the calendar to count.  A place has at most a
+    row a day, so no part is hot; places of very many facts are summed before they are dealt.
+    """
+    made = _model_columns()
+    wanted = columns or list(made)
+    needed = {raw for c in wanted for raw in made[c][0]}
+    counts = daily_counts(outbreak, wild, band)
+    day = Window.partitionBy("place").orderBy("day")
+    pieces = [collapse(outbreak, ["place", "day"]), weather.withColumn("has_weather", F.lit(True)), wild, band]
+    if needed & set(sentiment.columns):
+        pieces.append(sentiment)
+    own_columns = [c for p in pieces for c in p.columns if c not in ("place", "day")]
+    summed = {"outbreaks": "nbr_infections", "wild": "nbr_wild_detections", "band": "nbr_band_count"}
+    near: list[str] = []
+    if needed & {*NEIGHBOUR_COUNTS, RECENCY[1]}:
+        near += [*summed.values(), *(f"step_{w}" for w in W.WINDOWS)]
+        following = counts.filter("outbreaks > 0").select("place", "day", F.lead("day").over(day).alias("next"))
+        held = lambda w: F.least(F.date_add("day", w), F.coalesce("next", F.date_add("day", w)))
+        step = lambda at, sign, of: F.struct(at.alias("day"), *(F.lit(sign if w in of else 0).cast("long").alias(f"step_{w}") for w in W.WINDOWS))
+        steps = following.select("place", F.explode(F.array(step(F.date_add("day", 1), 1, W.WINDOWS), *(step(F.date_add(held(w), 1), -1, (w,)) for w in W.WINDOWS))).alias("s")).select("place", "s.*")
+        for one in (counts.select("place", "day", *(F.col(c).alias(n) for c, n in summed.items())), steps):
+            pieces.append(edges.select("place", "neighbour").join(one.withColumnRenamed("place", "neighbour"), "neighbour").drop("neighbour"))
+    for side in ("breeding", "wintering"):
+        if f"{side}_side_pressure" in needed:
+            near.append(f"{side}_value")
+            around = sector_edges(pairs, axis, f"{side}_bearing_deg", 300.0, 45.0, 150.0)
+            seen = around.join(wild.select(F.col("place").alias("neighbour"), "day", "detection_count"), "neighbour")
+            pieces.append(seen.groupBy("place", "day").agg(F.sum(F.col("weight") * F.col("detection_count")).alias(f"{side}_value")))
+    merged = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), pieces)
+    daily = dealt(merged, "place", parts).groupBy("place", "day").agg(*(F.max(c).alias(c) for c in own_columns), *(F.sum(c).alias(c) for c in near))
+
+    observed = observed_days(outbreak, wild, weather, band)
+    earliest = functools.reduce(DataFrame.union, (t.agg(F.min("day").alias("day")) for t in (outbreak, wild, weather, band))).agg(F.min("day").alias("min_day"))
+    span = calendar.agg(F.min("day").alias("first"), F.max("day").alias("last")).crossJoin(observed).crossJoin(earliest)
+    begin = F.greatest(F.date_sub("first", _REACH), F.least("first", "min_day"))
+    days = span.filter("first <= max_day").select(F.explode(F.sequence(begin, F.least("last", "max_day"))).alias("day"))
+    exposure = census.filter(F.col("census_year") == census_year).drop("census_year")
+    fixed = places.join(count_related(places, edges), "place").join(axis.select("place", "flyway"), "place", "left").join(exposure, "place", "left")
+    grid = dealt(places.select("place"), "place", parts).crossJoin(F.broadcast(days))  # one row a day of a span of years
+    rows = grid.join(daily, ["place", "day"], "left")
+
+    before, up_to, week = day.rowsBetween(Window.unboundedPreceding, -1), day.rowsBetween(Window.unboundedPreceding, 0), day.rowsBetween(-6, 0)
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0))).over(before)
+    trailing = {"wild_detections": "detection_count", "band_count": "band_count", "own_outbreaks": "outbreak_events"} | ({n: n for n in summed.values()} if summed["wild"] in near else {})
+    age = lambda c: F.max(F.when(F.col(c) > 0, F.col("day"))).over(before)
+    first = {f"sum_{n}": F.coalesce(total(c), F.lit(0)) for n, c in trailing.items()} | {"last_own": age("outbreak_events")}
+    first |= {"so_far": F.sum(F.coalesce("outbreak_events", F.lit(0))).over(up_to), "in_all": F.sum("outbreak_events").over(Window.partitionBy("place"))}
+    if summed["wild"] in near:
+        first |= {"last_near": age("nbr_infections")} | {f"nbr_infected_counties_{w}d": F.sum(F.coalesce(f"step_{w}", F.lit(0))).over(up_to) for w in W.WINDOWS}
+    for side in ("breeding", "wintering"):
+        if f"{side}_value" in near:
+            first[f"{side}_side_pressure"] = F.sum(f"{side}_value").over(day.rowsBetween(-21, -1))
+    rolled = {"precip_7d_mm": F.sum("precip_mm"), "temp_min_7d_c": F.avg("temp_min_c"), "temp_max_7d_c": F.avg("temp_max_c"), "precip_days_7d": F.count("precip_mm"), "temp_days_7d": F.count("temp_min_c")}
+    first |= {n: F.when(F.col("has_weather"), c.over(week)) for n, c in rolled.items()}
+    rows = rows.select("*", *(c.alias(n) for n, c in first.items()))
+    second = {f"{n}_{w}d": F.col(f"sum_{n}") - F.lag(f"sum_{n}", w, 0).over(day) for n in trailing for w in W.WINDOWS}
+    second |= {f"target_outbreak_next_{h}d": F.coalesce(F.lead("so_far", h).over(day), "in_all", F.lit(0)) > F.col("so_far") for h in (7, 14)}
+    for name, last in zip(RECENCY, ("last_own", "last_near"), strict=True):
+        if last in first:
+            second[name] = F.when(F.datediff("day", last) <= _REACH, F.datediff("day", last))
+    rows = rows.select("*", *(c.alias(n) for n, c in second.items()))
+    joined = rows.join(F.broadcast(calendar), "day").join(fixed, "place").crossJoin(F.broadcast(observed))  # one row
+    return joined.select(*(made[c][1].alias(c) for c in wanted))
+
+
 def model_column_names() -> list[str]:
     """The columns of the model table, in order."""
     exposure = [*EXPOSURE_COUNTS, *EXPOSURE_MEASURES]

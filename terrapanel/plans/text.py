@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -15,10 +16,12 @@ NEGATIVE = ("bad", "awful", "sick", "dead", "hate", "fear", "stupid", "idiot", "
 
 def lexicon_score(text: Column, positive: Sequence[str] = POSITIVE, negative: Sequence[str] = NEGATIVE) -> Column:
     """(positive - negative) / (positive + negative) words of a text, 0 without any, null for a null text."""
-    words = F.split(F.regexp_replace(F.lower(text), "[^a-z]+", " "), " ")
-    n = lambda of: F.size(F.filter(words, lambda w: w.isin(*of)))
-    good, bad = n(positive), n(negative)
-    return F.when(text.isNotNull(), F.when(good + bad > 0, (good - bad) / (good + bad)).otherwise(F.lit(0.0)))
+    low = F.lower(text)
+    n = lambda of: F.regexp_count(low, F.lit(rf"(?<![a-z])(?:{'|'.join(w for w in of if re.fullmatch('[a-z]+', w)) or '(?!)'})(?![a-z])")).cast("long")
+    share = lambda c: F.when(c["good"] + c["bad"] > 0, (c["good"] - c["bad"]) / (c["good"] + c["bad"])).otherwise(F.lit(0.0))
+    # The counts are bound once, and not made anew for each of their uses.
+    counted = F.transform(F.array(F.struct(n(positive).alias("good"), n(negative).alias("bad"))), share)
+    return F.when(text.isNotNull(), F.element_at(counted, 1))
 
 
 def score_with(posts: DataFrame, make_scorer: Callable[[], Callable[[pd.Series], pd.Series]], text: str = "text", into: str = "score", translate: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:

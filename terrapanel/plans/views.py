@@ -3,7 +3,6 @@ them at any scale.  Each view has the same definition in SQL in registry.py."""
 
 from __future__ import annotations
 
-import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +12,8 @@ from terrapanel.operators import spatial as G
 from terrapanel.operators.ingest import with_calendar_columns
 from terrapanel.plans import features as P
 from terrapanel.plans.text import lexicon_score, sentiment_rollup
-from terrapanel.sources.shared import shared_folder
-from terrapanel.sources.snapshots import materialise
+from terrapanel.sources.layout import bucketed, place_parts
+from terrapanel.sources.shared import kept
 
 #: Words that give the invented posts a score.
 LIKED, DISLIKED = ("with", "from", "mit", "con", "avec"), ("stupid", "idiot", "scum", "not", "nicht")
@@ -24,7 +23,7 @@ class Views:
     """Lazy views over a folder of tables; `built` holds those that are already written."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, built: dict[str, DataFrame] | None = None):
-        self.spark, self.dir, self.built = spark, sf_dir, built or {}
+        self.spark, self.dir, self.built, self.parts = spark, sf_dir, built or {}, None
 
     def of_lines(self, condition: Column) -> Views:
         """The views as they are with only the lines for which condition holds."""
@@ -33,11 +32,14 @@ class Views:
         return some
 
     def rebuilt(self) -> Views:
-        """The same views over the facts of the lines, written in one scan of them, and the calendar that
-        follows from the facts; every feature reads these."""
-        stages = [("facts", lambda _: self.facts), ("days", lambda done: Views(self.spark, self.dir, done).days)]
-        root = f"{shared_folder(self.spark)}/views-{uuid.uuid4().hex}"
-        return Views(self.spark, self.dir, materialise(stages, root, self.spark))
+        """The same views over the facts of the lines, written in one scan of them in buckets of places, and the
+        calendar that follows from the facts; every feature reads these, and stays dealt by place."""
+        parts = place_parts(self.spark)
+        facts = bucketed(self.facts, "facts", "place", parts, ["place", "day"])
+        days = kept(Views(self.spark, self.dir, {"facts": facts}).days, "days")
+        built = Views(self.spark, self.dir, {"facts": facts, "days": days})
+        built.parts = parts
+        return built
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -156,11 +158,18 @@ class Views:
 
     @cached_property
     def pressure(self) -> DataFrame:
-        return P.migration_pressure(self.pairs, self.axis, self.wild, calendar=self.days)
+        return P.migration_pressure(self.pairs, self.axis, self.wild, calendar=self.days, parts=self.parts)
+
+    @cached_property
+    def daily_counts(self) -> DataFrame:
+        if "facts" not in self.built:
+            return P.daily_counts(self.outbreak, self.wild, self.band)
+        confirmed = F.count_if((F.col("n_heavy") > 0) & F.col("confirmed"))
+        return self.facts.groupBy("place", "day").agg(confirmed.alias("outbreaks"), F.sum("n_wild").alias("wild"), F.sum("n_band").alias("band")).filter("outbreaks > 0 or wild > 0 or band > 0")
 
     @cached_property
     def spatial_lag(self) -> DataFrame:
-        return P.spatial_lag(self.adjacency, self.outbreak, self.wild, self.band, self.days)
+        return P.spatial_lag(self.adjacency, self.daily_counts, self.days, parts=self.parts)
 
     @cached_property
     def weather_lag(self) -> DataFrame:
@@ -172,8 +181,8 @@ class Views:
 
     def model_columns(self, *columns: str) -> DataFrame:
         """The model table, or the named columns of it, over rebuilt features."""
-        v = self if self.built else self.rebuilt()
-        return P.county_day(v.places, v.calendar, v.adjacency, v.outbreak, v.weather, v.wild, v.band, v.axis, v.census, v.pressure, v.spatial_lag, v.weather_lag, v.sentiment.drop("lang_breakdown"), columns=columns)
+        v = self if self.parts else self.rebuilt()
+        return P.dense_county_day(v.places, v.calendar, v.adjacency, v.outbreak, v.weather, v.wild, v.band, v.axis, v.pairs, v.census, v.sentiment.drop("lang_breakdown"), v.parts, columns=columns)
 
     @cached_property
     def long_values(self) -> DataFrame:

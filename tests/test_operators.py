@@ -19,7 +19,7 @@ def test_trailing_counts_of_neighbours(spark):
     edges = spark.createDataFrame([("A", "N")], "place string, neighbour string")
     hits = spark.createDataFrame([("N", D(2024, 1, 1), True, 1), ("N", D(2024, 1, 3), True, 1)], "place string, day date, confirmed boolean, birds int")
     none = spark.createDataFrame([], "place string, day date, detection_count long, band_count long")
-    lag = features.spatial_lag(edges, hits, none.drop("band_count"), none.drop("detection_count"), days(spark, "2024-01-01", "2025-06-30"))
+    lag = features.spatial_lag(edges, features.daily_counts(hits, none.drop("band_count"), none.drop("detection_count")), days(spark, "2024-01-01", "2025-06-30"))
     rows = {r["day"].isoformat(): r for r in lag.filter("place = 'A'").collect()}
     assert "2024-01-01" not in rows
     see = lambda d: tuple(rows[d][f"nbr_{k}"] for k in ("infected_counties_7d", "infections_7d", "infections_21d", "infections_60d"))
@@ -288,3 +288,49 @@ def test_key_share_repeats_and_spreads(spark):
 
     out = spark.range(4000).select(key_share("id").alias("a"), key_share("id", seed=1).alias("b")).toPandas()
     assert (out["a"] != out["b"]).mean() > 0.9 and 0.08 < (out["a"] < 0.1).mean() < 0.12 and out.min().min() >= 0 and out.max().max() < 1
+
+
+def test_lexicon_counts_whole_words(spark):
+    from terrapanel.plans.text import lexicon_score
+
+    rows = spark.createDataFrame([("Good GOODS bad", ), ("safe;sick,safe_ safe1", ), ("", ), (None, ), ("nothing", )], "t string")
+    got = [r[0] for r in rows.select(lexicon_score(F.col("t"), ("good", "safe", "x y"), ("bad", "sick"))).collect()]
+    assert got == [0.0, 0.5, 0.0, None, 0.0]
+
+
+def test_model_table_of_facts_before_the_calendar_equals_the_joined_one(spark):
+    """Both ways to the model table, with facts from before the calendar, at its ends, and of unknown places."""
+    import datetime as dt
+
+    from terrapanel.operators.ingest import with_calendar_columns
+    from tests.test_refresh import FACTS, content, inputs, random_facts
+
+    facts = random_facts(11, 500)
+    facts = {f: sorted({*rows, ("a", 0), ("zz", 250), ("b", 500), ("c", 60), ("c", 130)}) for f, rows in facts.items()}
+    i = inputs(spark, facts, 500)
+    days = i.days.filter(F.col("day") >= dt.date(2021, 2, 1))
+    calendar = with_calendar_columns(days)
+    counts = features.daily_counts(i.outbreak, i.wild, i.band)
+    lag = features.spatial_lag(i.edges, counts, days)
+    pressure = features.migration_pressure(i.pairs, i.axis, i.wild, calendar=days)
+    joined = features.county_day(i.places, calendar, i.edges, i.outbreak, i.weather, i.wild, i.band, i.axis, i.census, pressure, lag, features.weather_lag(i.weather), i.sentiment)
+    dense = features.dense_county_day(i.places, calendar, i.edges, i.outbreak, i.weather, i.wild, i.band, i.axis, i.pairs, i.census, i.sentiment, 4)
+    assert dense.columns == joined.columns and set(FACTS) == set(facts)
+    assert content(dense) == content(joined)
+    few = ["place", "day", "nbr_infections_7d", "days_since_outbreak_neighbor", "target_outbreak_next_14d", "breeding_side_pressure"]
+    some = features.dense_county_day(i.places, calendar, i.edges, i.outbreak, i.weather, i.wild, i.band, i.axis, i.pairs, i.census, i.sentiment, 4, columns=few)
+    assert content(some) == content(joined.select(*few))
+
+
+def test_the_grid_is_not_shuffled(spark):
+    """What is joined to the grid is dealt by place as it is: exchanges by place and day are of facts alone."""
+    import re
+
+    from terrapanel.plans.views import Views
+
+    plan = Views(spark, "/root/testdata/sf0.001").county_day._jdf.queryExecution().executedPlan().toString()
+    join = re.search(r"SortMergeJoin \[place#\d+L?, day#\d+\], \[place#\d+L?, day#\d+\], LeftOuter", plan)
+    grid, facts = plan[: plan.index("Union")], plan[plan.index("Union") :]
+    assert join and "Union" in plan and "hashpartitioning(place" in facts
+    assert not re.search(r"Exchange hashpartitioning\(place#\d+L?, day", grid)
+    assert len(re.findall(r"\bWindow \[", grid)) == len(re.findall(r"\bWindow \[", plan[: join.start()]))
