@@ -164,7 +164,10 @@ def _with(body: str) -> str:
                     needed.append(name)
 
     visit(body)
-    return ("WITH " + ", ".join(f"{n} AS ({_VIEW_SQL[n]})" for n in needed) + " " if needed else "") + body
+    views = [f"{n} AS ({_VIEW_SQL[n]})" for n in needed]
+    if body.startswith("WITH_ "):  # tables of its own
+        return f"WITH {', '.join([*views, body[6:]])}"
+    return f"WITH {', '.join(views)} {body}" if views else body
 
 
 def _query(name: str, sql: str | None = None):
@@ -533,6 +536,12 @@ def _snapshot_manifest(v: Views) -> DataFrame:
     return snapshots.manifest(v.spark, f"{v.dir}/orders.parquet", "orders", "landed", "2024-01-01", v.table("orders"))
 
 
+#: For modules that add queries.
+add_query, landed, design, km_sql = _query, _landed, _design, _km
+
+from terrapanel.plans import landed as _more  # noqa: E402, F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
