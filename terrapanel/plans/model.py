@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.functions.scalar import log_count
 from terrapanel.operators.quality import QualityError
-from terrapanel.operators.ranking import cumulative, exact_quantiles
+from terrapanel.operators.ranking import cumulative, exact_quantiles, exact_quantiles_of
 
 #: Columns of the model table that enter as logarithms, and those that enter as they are.
 COUNTS = [
@@ -51,10 +52,9 @@ def design_matrix(rows: DataFrame, split_day: str, banding: bool = False, keep:
     """Model columns: logarithms of counts, recency capped with an indicator of censoring, inventory with
     an indicator of withholding and filled with its median over all rows, weather filled with medians over
     the rows before split_day and an indicator."""
-    train = rows.filter(F.col("day") < F.lit(split_day).cast("date"))
-    fill = exact_quantiles(rows, "layer_inventory", [0.5]).toDF("_layer_inventory")
-    for c in WEATHER:
-        fill = fill.crossJoin(exact_quantiles(train, c, [0.5]).toDF(f"_{c}"))
+    before = F.col("day") < F.lit(split_day).cast("date")
+    medians = exact_quantiles_of(rows, {"layer_inventory": F.col("layer_inventory")} | {c: F.when(before, F.col(c)) for c in WEATHER}, [0.5])
+    fill = medians.select(*(F.col(f"{c}_q0").alias(f"_{c}") for c in ("layer_inventory", *WEATHER)))
     x = rows.crossJoin(F.broadcast(fill))  # one row of medians
     columns = [log_count(F.col(c)).alias(f"log_{c}") for c in COUNTS]
     for c in CENSORED:
@@ -238,3 +238,26 @@ def permutation_test(train: DataFrame, test: DataFrame, features: Sequence[str],
         one = metrics(test.withColumn("_score", model.probability()), "_score", label).select(F.lit(r).alias("repeat"), "roc_auc", "average_precision")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def exchange_test(rows: DataFrame, block: Sequence[str], statistic: Column, keys: Sequence[str], within: Sequence[str], repeats: int = 99, seed: int = 1) -> DataFrame:
+    """One row, (observed, p_value, repeats): how often exchanging a block of columns gives a statistic as large.
+
+    The block's values move together, and only among rows that are equal in `within` (a place's region and a
+    span of time, so that what rows near each other have in common stays).  statistic is an aggregate of the
+    rows' columns.  All repeats are one job, whose rows are `repeats` times the table's; each exchange is the
+    join of two orders of a stratum by hashes of the keys, which must be unique.  The p-value is the observed
+    statistic's rank, (1 + exchanges at least as large) / (1 + repeats); null statistics count as not.
+    """
+    from pyspark.sql import Window
+
+    order = lambda *salt: F.row_number().over(Window.partitionBy("_r", *within).orderBy(F.xxhash64(*keys, "_r", *(F.lit(x) for x in salt)), *keys))
+    again = rows.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    moved = again.select(F.col("_r").alias("_q"), order("from", seed).alias("_m"), *(F.col(c).alias(f"_in_{c}") for c in within), *(F.col(c).alias(f"_new_{c}") for c in block))
+    rest = again.withColumn("_n", order("to", seed))
+    same = [F.col("_r") == F.col("_q"), F.col("_n") == F.col("_m"), *(F.col(c).eqNullSafe(F.col(f"_in_{c}")) for c in within)]
+    joined = rest.join(moved, functools.reduce(lambda a, b: a & b, same))
+    exchanged = joined.select("_r", *(F.col(f"_new_{c}").alias(c) if c in block else F.col(c) for c in rows.columns)).groupBy("_r").agg(statistic.alias("s"))
+    observed = rows.agg(statistic.alias("observed"))
+    larger = F.count_if(F.col("s") >= F.col("observed") - 1e-12 * F.abs("observed"))
+    return exchanged.crossJoin(F.broadcast(observed)).groupBy("observed").agg(((larger + 1) / (repeats + 1)).alias("p_value"), F.count(F.lit(1)).alias("repeats"))  # one row

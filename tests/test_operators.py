@@ -334,3 +334,36 @@ def test_the_grid_is_not_shuffled(spark):
     assert join and "Union" in plan and "hashpartitioning(place" in facts
     assert not re.search(r"Exchange hashpartitioning\(place#\d+L?, day", grid)
     assert len(re.findall(r"\bWindow \[", grid)) == len(re.findall(r"\bWindow \[", plan[: join.start()]))
+
+
+def test_quantiles_of_many_columns_equal_those_of_one(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n = 30_000
+    ties, few = rng.integers(0, 40, n).astype(float), rng.normal(size=n)
+    wide = np.exp(3 * rng.normal(size=n))
+    rows = [(float(t), float(w) if k % 7 else None, float("nan") if k % 5 == 0 else float(f), k) for k, (t, w, f) in enumerate(zip(ties, wide, few, strict=True))]
+    df = spark.createDataFrame(rows, "t double, w double, f double, k int").withColumn("name", F.lit("clash"))
+    shares = [0.0, 0.1, 0.5, 0.999, 1.0]
+    values = {"t": F.col("t"), "w": F.col("w"), "f": F.col("f"), "some": F.when(F.col("k") < 11, F.col("f")), "none": F.lit(None)}
+    got = ranking.exact_quantiles_of(df, values, shares).first()
+    want = {"t": ties, "w": np.array([r[1] for r in rows if r[1] is not None]), "f": np.array([r[2] for r in rows if r[2] == r[2]]), "some": np.array([r[2] for r in rows[:11] if r[2] == r[2]])}
+    for name, x in want.items():
+        assert [got[f"{name}_q{k}"] for k in range(5)] == pytest.approx(np.quantile(x, shares).tolist(), rel=1e-12)
+    assert got["none_q2"] is None and ranking.exact_quantiles_of(df.limit(0), {"t": F.col("t")}, [0.5]).first()[0] is None
+
+
+def test_exchange_test_agrees_with_all_exchanges(spark):
+    import itertools
+
+    groups = {"a": [(1.0, 3.0), (2.0, 1.0), (5.0, 9.0)], None: [(4.0, 2.0), (0.0, 0.0), (3.0, 4.0), (8.0, 7.0)]}
+    rows = [(g, k, x, y) for g, own in groups.items() for k, (x, y) in enumerate(own)]
+    df = spark.createDataFrame(rows, "g string, k int, x double, y double")
+    observed = sum(x * y for *_, x, y in rows)
+    every = [sum(x * y for (x, _), y in zip([*groups["a"], *groups[None]], [*p, *q], strict=True)) for p in itertools.permutations([y for _, y in groups["a"]]) for q in itertools.permutations([y for _, y in groups[None]])]
+    exact = sum(s >= observed - 1e-9 for s in every) / len(every)
+    row = model.exchange_test(df, ["y"], F.sum(F.col("x") * F.col("y")), ["g", "k"], ["g"], repeats=1500).first()
+    assert row["observed"] == observed and row["repeats"] == 1500 and abs(row["p_value"] - exact) < 0.02 and exact < 0.05
+    # A block that says nothing of the statistic is as large in every exchange.
+    assert model.exchange_test(df.withColumn("z", F.lit(1.0)), ["z"], F.sum("y"), ["g", "k"], ["g"], repeats=9).first()["p_value"] == 1.0
