@@ -329,6 +329,15 @@ _stored("ignore", store.merge_missing)
 _stored("update_only", lambda t, s: store.merge_existing(t, s, ["a", "b"]))
 _query("fk_offenders", "SELECT place, count(*) AS n_rows FROM outbreak WHERE place NOT IN (SELECT place FROM places WHERE is_conus) GROUP BY ALL")(lambda v: Q.foreign_key_offenders(v.outbreak, v.places.filter("is_conus"), "place"))
 _query("key_resolution", "SELECT count(*) AS total, count(*) FILTER (WHERE place % 11 <> 0) AS kept, count(*) FILTER (WHERE place % 11 = 0) AS dropped, count(DISTINCT CASE WHEN place % 11 = 0 THEN place END) AS offenders FROM outbreak")(lambda v: Q.resolution_report(v.outbreak, v.places.filter("is_conus"), "place"))
+
+
+@_query("gated_load", _SQL["key_resolution"])
+def _gated_load(v: Views) -> DataFrame:
+    """The same report, of a load that has written and checked its rows in one pass."""
+    report = store.load_resolved(store.PartStore(v.spark, _landed(v, "loaded")), v.outbreak, v.places.filter("is_conus"), "place", F.year("day"), ["place", "day", "flock_type"])
+    return v.spark.createDataFrame([tuple(report.values())], ", ".join(f"{c} long" for c in report))
+
+
 _query("pk_violations", "SELECT place, day, count(*) AS n_rows FROM outbreak GROUP BY ALL HAVING count(*) > 1")(lambda v: Q.primary_key_violations(v.outbreak, ["place", "day"]))
 _query("vintage_guard", "SELECT coalesce(bool_or(s_suppkey = 1), FALSE) AND coalesce(bool_or(s_suppkey = 7), FALSE) AS required_present, NOT coalesce(bool_or(s_suppkey = 3), FALSE) AS forbidden_absent FROM supplier")(lambda v: Q.vintage_flags(v.table("supplier"), "s_suppkey", [1, 7], [3]))
 _query("row_audit", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in ("region", "nation", "supplier", "orders", "lineitem")))(lambda v: Q.row_audit({t: v.table(t) for t in ("region", "nation", "supplier", "orders", "lineitem")}))

@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrapanel.operators.quality import QualityError
+from terrapanel.operators.quality import QualityError, primary_key_violations, require_empty
 from terrapanel.sources import upsert as U
 
-_PART = "_part"
+_PART, _REJECTED = "_part", "rejected"
 
 
 class ConflictError(RuntimeError):
@@ -65,26 +65,40 @@ class PartStore:
             raise QualityError(f"no table has been committed at {self.path}")
         return self._load(version, parts)
 
-    def commit(self, rows: DataFrame, part: Column, touched: Iterable[str] | None, base: dict | None = None, settings: dict | None = None, check: Callable[[], None] | None = None, sort: Sequence[str] = ()) -> dict:
+    def rejected(self) -> DataFrame:
+        """The rows that the last write has put aside."""
+        version = self.version()
+        return self._load({**version, "parts": {"aside": version["aside"]} if version.get("aside") else {}}, None)
+
+    def commit(
+        self, rows: DataFrame, part: Column, touched: Iterable[str] | None, base: dict | None = None, settings: dict | None = None,
+        check: Callable[[DataFrame], None] | None = None, sort: Sequence[str] = (), aside: str | None = None, drop: Sequence[str] = (),
+    ) -> dict:
         """Replaces the `touched` parts (None: all) by rows, each put in the part of column `part` and, in a file,
-        sorted by `sort`; gives the new version.  rows may have been computed from the table.  check runs once the rows are written, and
-        before they count: what it raises leaves the table as it was."""
+        sorted by `sort`; gives the new version.  rows may have been computed from the table.
+
+        check is given the rows as written, with their part as column `_part`, before they count: what it raises
+        leaves the table as it was.  The part named `aside` is kept beside the table and is no part of it: see
+        rejected().  Columns of `drop` only serve `part`.
+        """
         base = base or self.version()
         folder = f"data/{base['number'] + 1:012d}-{uuid.uuid4().hex}"
         held = None if touched is None else sorted(set(touched))
-        own = rows.withColumn(_PART, part.cast("string"))
+        own = rows.withColumn(_PART, part.cast("string")).drop(*drop)
+        rows = rows.drop(*drop)
         if held is not None:
             own = own.filter(F.col(_PART).isin(held))
         # Parts are gathered by size, so that a large one is split over tasks and small ones share some.
         own = own.hint("rebalance", _PART).sortWithinPartitions(_PART, *sort)
         own.write.option("partitionOverwriteMode", "static").partitionBy(_PART).parquet(f"{self.path}/{folder}")
         if check:
-            check()
+            check(self.spark.read.schema(T.StructType([*rows.schema.fields, T.StructField(_PART, T.StringType())])).parquet(f"{self.path}/{folder}"))
         _, at, fs, _ = self._files()
         names = [s.getPath().getName() for s in fs.listStatus(at(f"{self.path}/{folder}")) if s.isDirectory()]
         new = {n.removeprefix(f"{_PART}="): f"{folder}/{n}" for n in names if n.startswith(f"{_PART}=")}
         kept = {} if held is None else {p: f for p, f in base["parts"].items() if p not in set(held)}
-        version = {"number": base["number"] + 1, "schema": rows.schema.jsonValue(), "settings": settings or base["settings"], "parts": kept | new}
+        beside = new.pop(aside, None) if aside is not None else None
+        version = {"number": base["number"] + 1, "schema": rows.schema.jsonValue(), "settings": settings or base["settings"], "parts": kept | new, "aside": beside}
         self._point(version)
         return version
 
@@ -116,7 +130,8 @@ class PartStore:
             if name[0] == "." or int(name.removesuffix(".json")) <= last - keep:
                 fs.delete(s.getPath(), False)
             else:
-                named |= set(json.loads(self.spark.read.text(s.getPath().toString(), wholetext=True).first()[0])["parts"].values())
+                version = json.loads(self.spark.read.text(s.getPath().toString(), wholetext=True).first()[0])
+                named |= {*version["parts"].values(), version.get("aside")}
         gone = 0
         data = at(f"{self.path}/data")
         for write in fs.listStatus(data) if fs.exists(data) else []:
@@ -169,6 +184,34 @@ def _merge(store: PartStore, source: DataFrame, change: Callable[[DataFrame, Dat
     return touched
 
 
+def load_resolved(store: PartStore, rows: DataFrame, master: DataFrame, key: str, part: Column, keys: Sequence[str] = (), most_dropped: float = 1.0, touched: Iterable[str] | None = None) -> dict[str, int]:
+    """Writes the rows whose key the master has, puts the others aside, and gives the report of
+    quality.resolution_report(): total, kept, dropped, offenders.
+
+    One pass over rows: both kinds are written together, and what is reported and required is counted in what
+    was written (most of it in the files' footers), before that becomes the table.  Raises, and leaves the table as
+    it was, where more than the share most_dropped of all rows has no place or one of `keys` repeats or is null.
+    """
+    known = master.select(key).distinct().withColumn("_known", F.lit(True))
+    placed = rows.join(known, key, "left").select(*rows.columns, F.when(F.col("_known"), part.cast("string")).otherwise(_REJECTED).alias("_where"))
+    report: dict[str, int] = {}
+
+    def check(written: DataFrame) -> None:
+        counts = {r[_PART]: r["count"] for r in written.groupBy(_PART).count().collect()}  # a row for each part
+        lost = written.filter(F.col(_PART) == _REJECTED)
+        offenders = lost.agg(F.count_distinct(F.coalesce(F.col(key).cast("string"), F.lit("\0")))).first()[0]
+        total, dropped = sum(counts.values()), counts.get(_REJECTED, 0)
+        report.update(total=total, kept=total - dropped, dropped=dropped, offenders=offenders)
+        if dropped > most_dropped * total:
+            raise QualityError(f"{dropped} of {total} rows have a {key} that the master lacks: {offenders} different ones")
+        if keys:
+            require_empty(primary_key_violations(written.filter(F.col(_PART) != _REJECTED), keys), f"keys {list(keys)}")
+
+    wanted = None if touched is None else [*touched, _REJECTED]
+    store.commit(placed, F.col("_where"), wanted, check=check, aside=_REJECTED, drop=("_where",))
+    return report
+
+
 def merge_all(store: PartStore, source: DataFrame) -> list[str]:
     """Source rows replace rows of their keys; the others are added."""
     return _merge(store, source, U.upsert)

@@ -161,3 +161,27 @@ def test_a_stopped_arrival_is_merged_by_the_next_run(spark, tmp_path, monkeypatc
     run()
     run()
     assert content(S.PartStore(spark, target).read()) == [(1, 1, "x"), (2, 3, "w"), (3, 1, "x")]
+
+
+def test_a_gated_load_writes_reports_and_refuses(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from terrapanel.operators.quality import resolution_report
+
+    master = spark.createDataFrame([(k,) for k in range(5)] + [(3,)], "k int")
+    source = rows(spark, [(1, 1, "x"), (2, 1, "x"), (7, 1, "y"), (7, 2, "y"), (None, 3, "z"), (8, 1, "y")])
+    store = S.PartStore(spark, str(tmp_path / "g"))
+    report = S.load_resolved(store, source, master, "k", F.col("a"), ["k"])
+    assert tuple(report.values()) == tuple(resolution_report(source, master, "k").first()) == (6, 2, 4, 3)
+    assert content(store.read()) == [(1, 1, "x"), (2, 1, "x")] and store.rejected().count() == 4 and store.read().columns == ["k", "a", "b"]
+    before = store.version()
+    with pytest.raises(QualityError, match="4 of 6"):
+        S.load_resolved(store, source, master, "k", F.col("a"), most_dropped=0.5)
+    with pytest.raises(QualityError, match="keys"):
+        S.load_resolved(store, rows(spark, [(1, 1, "x"), (1, 2, "y")]), master, "k", F.col("a"), ["k"])
+    assert store.version() == before and content(store.read()) == [(1, 1, "x"), (2, 1, "x")]
+    # Only the touched part is replaced; what was put aside follows the last write.
+    S.load_resolved(store, rows(spark, [(4, 2, "new")]), master, "k", F.col("a"), ["k"], touched=["2"])
+    assert content(store.read()) == [(1, 1, "x"), (2, 1, "x"), (4, 2, "new")] and store.rejected().count() == 0
+    store.vacuum()
+    assert content(store.read()) == [(1, 1, "x"), (2, 1, "x"), (4, 2, "new")]
