@@ -222,8 +222,8 @@ _DOUBLES = "lat lon land_area_sqmi pop_density_sqmi layer_inventory broiler_sale
 _query("county_day", "SELECT * REPLACE (" + ", ".join(f"round({c}, 8) AS {c}" for c in _DOUBLES.split()) + ") FROM county_day")(lambda v: _rounded(v.county_day, 8))
 
 
-def _inputs(v: Views) -> Inputs:
-    return Inputs(v.places, v.days, v.adjacency, v.pairs, v.axis, v.census, v.outbreak, v.wild, v.band, v.weather, v.sentiment.drop("lang_breakdown"))
+def _inputs(v: Views, pairs: DataFrame, sentiment: DataFrame) -> Inputs:
+    return Inputs(v.places, v.days, v.adjacency, pairs, v.axis, v.census, v.outbreak, v.wild, v.band, v.weather, sentiment)
 
 
 @_query("partial_rebuild", _SQL["county_day"])
@@ -231,9 +231,10 @@ def _partial_rebuild(v: Views) -> DataFrame:
     """The model table, stored without a part of one winter's lines, then rebuilt where these reach."""
     late = F.col("day").between("1996-11-15", "1997-01-20") & (F.col("l_orderkey") % 7 == 3)
     tables = FeatureTables(v.spark, _landed(v, "features"))
-    tables.rebuild(_inputs(v.of_lines(~late).rebuilt()))
+    own = kept(v.pairs, "pairs"), kept(v.sentiment.drop("lang_breakdown"), "sentiment")
+    tables.rebuild(_inputs(v.of_lines(~late).rebuilt(), *own))
     changed = v.lines.filter(late).select("place", "day").distinct()
-    tables.refresh(_inputs(v.rebuilt()), dict.fromkeys(("outbreak", "wild", "band", "weather"), changed))
+    tables.refresh(_inputs(v.rebuilt(), *own), dict.fromkeys(("outbreak", "wild", "band", "weather"), changed))
     return _rounded(tables.read("county_day"), 8)
 
 
