@@ -1,5 +1,6 @@
 import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,37 @@ def test_pairs_across_the_date_line_and_near_the_pole(spark):
     assert {(r[0], r[1]) for r in spatial.pairs_within(points, points, 50).collect()} == {("a", "b"), ("b", "a"), ("c", "d"), ("d", "c")}
 
 
+def _plain_km(a, b):
+    (la, lo), (lb, lp) = (np.radians(np.asarray(x)).T for x in (a, b))
+    h = np.sin((lb[None] - la[:, None]) / 2) ** 2 + np.cos(la)[:, None] * np.cos(lb)[None] * np.sin((lp[None] - lo[:, None]) / 2) ** 2
+    return 2 * 6371.0 * np.arcsin(np.sqrt(np.minimum(h, 1)))
+
+
+def test_nearest_and_pairs_in_clusters(spark, monkeypatch):
+    """A tight cluster, its copies at one coordinate, and far points: cells are quartered and joined in blocks."""
+    rng = np.random.default_rng(11)
+    at = [*zip(40 + rng.random(900) * 0.004, -90 + rng.random(900) * 0.004, strict=True), *[(40.002, -89.998)] * 300, *zip(rng.uniform(25, 49, 60), rng.uniform(-120, -70, 60), strict=True)]
+    frame = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(at)], "id long, lat double, lon double")
+    monkeypatch.setattr(spatial, "BLOCK", 64)
+    assert len(spatial._levels(frame, frame, 500.0, 49.0, 64 * 6)) > 3
+    km = _plain_km(at, at)
+    got = {}
+    for r in spatial.nearest(frame, frame.withColumnRenamed("id", "place"), 5).collect():
+        got.setdefault(r["id"], {})[r["rank"]] = (r["place"], r["distance_km"])
+    assert len(got) == len(at)
+    for k in range(len(at)):
+        want = np.sort(km[k])[:5]
+        found = [got[k][x] for x in range(5)]
+        assert np.allclose([d for _, d in found], want, atol=1e-6)
+        assert found == sorted(found, key=lambda f: (f[1], f[0])) and len({p for p, _ in found}) == 5
+    same = sorted(got[900][x][0] for x in range(5))
+    assert same == [900, 901, 902, 903, 904]
+    pairs = spatial.pairs_within(frame, frame, 0.05).select("id", "other").collect()
+    near = np.argwhere((km > 0) & (km <= 0.05))
+    edge = int(((km > 0.05 - 1e-9) & (km < 0.05 + 1e-9)).sum())
+    assert len(set(pairs)) == len(pairs) and abs(len(pairs) - len(near)) <= edge and len(near) > 5000
+
+
 def test_nearest_equals_brute_force(spark):
     points = spark.sql("SELECT id, 25 + (id * 7919 % 2400) / 100D AS lat, -124 + (id * 104729 % 5700) / 100D AS lon FROM range(60)")
     places = spark.sql("SELECT id AS place, 25 + (id * 6131 % 2400) / 100D AS lat, -124 + (id * 86311 % 5700) / 100D AS lon FROM range(80)")
