@@ -1,4 +1,5 @@
 import datetime
+import hashlib
 
 import numpy as np
 import pytest
@@ -217,6 +218,19 @@ def test_merges(spark, tmp_path):
     assert see(spark.read.parquet(path)) == {"a": 1, "b": 9, "c": 3}
 
 
+def test_digests_of_files_of_any_size(spark, tmp_path):
+    (tmp_path / "raw").mkdir()
+    body = np.random.default_rng(1).bytes(20 << 20)
+    want = {}
+    for name, data in (("a b.bin", body), ("c.bin", body[: 9 << 20]), ("small", b"xyz"), ("empty", b"")):
+        (tmp_path / "raw" / name).write_bytes(data)
+        want[name] = (len(data), hashlib.sha256(data).hexdigest())
+    del want["empty"]
+    for whole in (10, 10 << 20, 1 << 30):
+        rows = snapshots.digests(spark, str(tmp_path / "raw"), whole=whole).collect()
+        assert {r["path"].rsplit("/", 1)[1]: (r["size"], r["sha256"]) for r in rows} == want
+
+
 def test_manifest_and_mirror(spark, tmp_path):
     (tmp_path / "raw").mkdir()
     (tmp_path / "raw" / "a.csv").write_text("x\n1\n")
