@@ -136,12 +136,12 @@ def learn(documents: DataFrame) -> ByteNet | None:
     doc_id = column_or_null(documents, "doc_id", "long")
     labelled = documents.select(doc_id.alias("doc_id"), column_or_null(documents, "lang", "string").alias("lang"), column_or_null(documents, "text", "string").alias("text"))
     labelled = labelled.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("c"))
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("c"))
     few = counts.limit(MOST_LANGS + 1).collect()
     if len(few) <= MOST_LANGS:  # else the join shuffles
         counts = F.broadcast(documents.sparkSession.createDataFrame(few, "lang string, c long"))
     quota = max(LEAST_DOCS, SAMPLE_DOCS // max(1, len(few)))
-    # The least hashes of a language: about four times its share of rows are ranked.
+    # The least hashes of a language: about four times its share of ids are ranked, whatever their rows.
     at = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / float(1 << 63)
     low = labelled.select("doc_id", "lang", at.alias("at")).join(counts, "lang").filter(F.col("at") * F.col("c") <= 4.0 * quota).distinct()
     chosen = low.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))).filter(F.col("k") <= quota).select("doc_id").distinct()
@@ -183,7 +183,8 @@ def with_language(documents: DataFrame, result: str, net: ByteNet | None = None)
     """documents with a struct column `result` of lang_pred and score; `net` is learned where not given.
 
     lang_pred is a learned value, or `und` with score 0 for a null text, a text without a letter, and
-    where nothing could be learned.  The text alone decides.  Repeated rows get equal results; every
+    where nothing could be learned.  The text alone decides; of equally probable languages the first by name
+    counts.  A very long text is read whole, window by window, in a piece of its own.  Repeated rows get equal results; every
     column is kept, whatever its name; empty tables give an empty result.
     """
     spark = documents.sparkSession

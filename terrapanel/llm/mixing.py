@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,6 @@ from terrapanel.llm.staging import column_or_null, staged
 PARTS = 32
 #: Groups of rows of equal id and text in a part that is split.
 SALTS = 1024
-#: Sizes of one block of a source that are rounded in one task.
-SIZES = 4096
 _KEY = ["no_source", "source_key"]
 
 
@@ -86,48 +86,40 @@ def _multipliers(histogram: DataFrame, wanted: DataFrame, cap: float, steps: int
 
 
 def _rounded(cap: float):
-    """Copies of the documents of each size of one block of sizes, the error handed down the sizes; `left` is
-    what the last of them leaves, in words."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("size", ascending=False, kind="stable")
-        carry, base, limit, more = float(group["carry"].iloc[0]), [], [], []
-        for size, n, rate, parts in zip(group["size"], group["n"], group["rate"], group["parts"], strict=True):
-            whole = min(int(rate), int(cap))
+    """How many documents of each size of a source get one copy more than the whole ones, from the longest size to
+    the shortest, each handing its error on to the next."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.take(pa.compute.sort_indices(group["size"], [("", "descending")]))
+        sizes, numbers, rates = (group[c].to_numpy() for c in ("size", "n", "rate"))
+        wholes = np.minimum(rates.astype(np.int64), int(cap))
+        carry, counts = 0.0, np.zeros(len(sizes), np.int64)
+        for k, (size, n, rate, whole) in enumerate(zip(sizes.tolist(), numbers.tolist(), rates.tolist(), wholes.tolist(), strict=True)):
             wanted = n * rate * size + carry
-            count = min(max(math.floor(wanted / size - whole * n + 0.5), 0), n) if whole < cap else 0
-            part, reached = 0, 0
-            for p in sorted(parts, key=lambda p: p["part"]):
-                part = p["part"]
-                if reached + p["c"] > count:
-                    break
-                reached += p["c"]
-            else:
-                part = PARTS
+            counts[k] = count = min(max(math.floor(wanted / size - whole * n + 0.5), 0), n) if whole < cap else 0
             carry = wanted - (whole * n + count) * size
-            base.append(whole)
-            limit.append(part)
-            more.append(count - reached)
-        left = [0.0] * (len(group) - 1) + [carry]
-        return group[[*_KEY, "size", "rate"]].assign(base=base, limit=limit, more=more, left=left)
+        return group.select([*_KEY, "size", "rate"]).append_column("base", pa.array(wholes, pa.int32())).append_column("count", pa.array(counts))
 
     return run
 
 
-def _plan(rated: DataFrame, lowest: DataFrame, cap: float) -> DataFrame:
-    """(source, size, rate, base, limit, more): the copies by size.  A source of up to SIZES sizes is rounded as
-    a whole.  Of others, blocks of SIZES sizes are rounded apart; what they leave goes to the lowest block,
-    whose documents are the shortest and many."""
-    ddl = "no_source boolean, source_key string, size long, rate double, base int, limit int, more long, left double"
-    dealt = rated.join(lowest, _KEY).withColumn("block", F.when(F.col("whole"), 0).otherwise(F.expr(f"size div {SIZES}")))
-    group = [*_KEY, "block"]
-    apart = dealt.filter("block > lowest").withColumn("carry", F.lit(0.0)).groupBy(*group).applyInPandas(_rounded(cap), ddl)
-    last, out = dealt.filter("block = lowest").withColumn("carry", F.lit(0.0)), None
-    if not lowest.filter("highest > lowest").isEmpty():
-        out = staged(apart, "mix-plan")
-        last = last.drop("carry").join(out.groupBy(*_KEY).agg(F.sum("left").alias("carry")), _KEY, "left").withColumn("carry", F.coalesce("carry", F.lit(0.0)))
-    own = last.groupBy(*group).applyInPandas(_rounded(cap), ddl)
-    return staged(own if out is None else own.union(out), "mix-plan").drop("left")
+def _plan(rated: DataFrame, histogram: DataFrame, cap: float) -> DataFrame:
+    """(source, size, rate, base, limit, more): the copies by size; parts below `limit` get one more, and `more`
+    documents of that part.
+
+    A source is rounded by one task, as three numbers a size.  Different sizes are few: D of them have
+    at least D * D / 2 words together, so a source of 10**13 words has at most 4.5 million.
+    """
+    counts = rated.groupBy(*_KEY).applyInArrow(_rounded(cap), "no_source boolean, source_key string, size long, rate double, base int, count long")
+    start = F.struct(F.lit(0).cast("long").alias("reached"), F.lit(PARTS).alias("limit"))
+
+    def step(state, part):
+        stops = (state["limit"] == PARTS) & (state["reached"] + part["c"] > F.col("count"))
+        reached = F.when(stops | (state["limit"] < PARTS), state["reached"]).otherwise(state["reached"] + part["c"])
+        return F.struct(reached.alias("reached"), F.when(stops, part["part"]).otherwise(state["limit"]).alias("limit"))
+
+    cut = F.aggregate(F.array_sort("parts"), start, step)
+    return staged(counts.join(histogram.select(*_KEY, "size", "parts"), [*_KEY, "size"]).withColumn("cut", cut).select(*_KEY, "size", "rate", "base", "cut.limit", (F.col("count") - F.col("cut.reached")).alias("more")), "mix-plan")
 
 
 def _split_parts(sized: DataFrame, plan: DataFrame) -> DataFrame:
@@ -151,9 +143,10 @@ def entropy_mix(documents: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.
     documents; sources by code point, null last, get shares by `weights`, repeating, but at most `cap`
     times their own words, the excess going to the others by weight.  Returns doc_id, source, size,
     source_size, target (of the source), rate (of the balanced solution), copies (0 to cap) and taken
-    (copies * size).  Each source's taken words differ from its target by less than about its shortest
-    documents' sizes, also where all its documents have one size or no id; with more than SIZES sizes, by what
-    its shortest documents cannot make up for.
+    (copies * size).  A document gets the whole copies of its rate or one more.  Each source's taken words differ
+    from its target by about its shortest documents' sizes where these have room for the longer ones' errors, also
+    where all its documents have one size or no id; where they have none, as with rates just below a whole number,
+    by half of its longest document's size at most, however many sizes there are.
 
     The result is a function of the rows alone: what is rounded up follows a hash of doc_id and text, and of
     rows equal in both any may be.  A null source is a source; null and repeated ids are separate documents;
@@ -171,17 +164,14 @@ def entropy_mix(documents: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.
     histogram = staged(counts.groupBy(*_KEY, "size").agg(F.sum("c").alias("n"), F.collect_list(F.struct("part", "c")).alias("parts")), "mix-histogram")
     some = F.when(F.col("size") > 0, F.col("size"))
     sources = histogram.groupBy(*_KEY).agg(
-        F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count(F.lit(1)).alias("n_sizes"), F.min(some).alias("shortest"), F.max(some).alias("longest"), (F.sum(some * F.col("n")) / F.sum(F.when(F.col("size") > 0, F.col("n")))).alias("mean")
+        F.sum(F.col("size") * F.col("n")).alias("source_size"), F.min(some).alias("shortest"), (F.sum(some * F.col("n")) / F.sum(F.when(F.col("size") > 0, F.col("n")))).alias("mean")
     )
     wanted = staged(targets(sources, weights, cap), "mix-targets")
     full = histogram.filter("size > 0")
     multipliers = _multipliers(full.drop("parts"), wanted, cap, steps, tolerance)
     rate = F.when(F.col("all_full"), F.lit(float(cap))).otherwise(F.least(F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(700.0))), F.lit(float(cap))))
-    rated = full.join(multipliers, _KEY).select(*_KEY, "size", "n", "parts", rate.alias("rate"))
-    whole = F.col("n_sizes") <= SIZES
-    block = lambda c: F.when(whole, 0).otherwise(F.expr(f"{c} div {SIZES}"))
-    lowest = wanted.filter("source_size > 0").select(*_KEY, whole.alias("whole"), block("shortest").alias("lowest"), block("longest").alias("highest"))
-    plan = _plan(rated, lowest, cap)
+    rated = full.join(multipliers, _KEY).select(*_KEY, "size", "n", rate.alias("rate"))
+    plan = _plan(rated, histogram, cap)
     first = staged(_split_parts(sized, plan), "mix-first").withColumn("first", F.lit(True))
     out = sized.join(plan, [*_KEY, "size"], "left").join(wanted.select(*_KEY, "source_size", "target"), _KEY).join(first, "row", "left")
     n = F.coalesce(F.col("base") + F.when((F.col("part") < F.col("limit")) | F.col("first"), 1).otherwise(0), F.lit(0))

@@ -247,6 +247,14 @@ def test_rare_languages_are_learned(spark, monkeypatch):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in out)
 
 
+def test_a_language_of_few_ids_and_many_rows_is_learned(spark):
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    for one in (i for i in range(2, 6) if not held(i)):
+        rows = [(one, "zxq qqz xxz zzq " * 8, "xx")] * 6000 + [(i, "lorem ipsum dolor amet " * 8, "en") for i in range(100, 130)]
+        table = spark.createDataFrame(rows, f"{DOCS}, lang string")
+        assert lang_id.learn(table).langs == ["en", "xx"]
+
+
 # 7. Quality.
 
 
@@ -289,10 +297,7 @@ def test_hot_ids_are_dealt_to_parts(spark, monkeypatch):
 # 9. Mixing.
 
 
-@pytest.mark.parametrize("sizes", [5, 8])
-def test_mix_in_blocks_of_sizes_meets_targets(spark, monkeypatch, sizes):
-    """Sizes in four blocks, of which the lowest holds most documents; and all in one."""
-    monkeypatch.setattr(mixing, "SIZES", sizes)
+def test_mix_of_sizes_with_gaps_meets_targets(spark):
     rng = random.Random(14)
     rows = [(i, " ".join(["w"] * rng.choice([1, 2, 3, 4] * 6 + [9, 17, 40, 90])), rng.choice("aaab")) for i in range(1500)]
     out = mixing.entropy_mix(spark.createDataFrame(rows, f"{DOCS}, source string")).collect()
@@ -304,6 +309,29 @@ def test_mix_in_blocks_of_sizes_meets_targets(spark, monkeypatch, sizes):
     assert {s: round(taken[s] - target[s], 2) for s in target if abs(taken[s] - target[s]) > 1} == {}
 
 
+def test_mix_of_many_sizes_is_rounded_exactly(spark):
+    """Over 4096 different sizes in one source, one document each, against a plain rounding of the rates."""
+    rows = spark.range(6000).selectExpr("id AS doc_id", "repeat('w ', int(IF(id < 5000, id + 1, 50 + id % 3))) AS text", "IF(id < 5000, 'a', 'b') AS source")
+    out = [r for r in mixing.entropy_mix(rows, (1.0, 1.0)).collect() if r["size"]]
+    for source in "ab":
+        own = [r for r in out if r["source"] == source]
+        by_size = {}
+        for r in own:
+            by_size.setdefault(r["size"], []).append(r)
+        carry = 0.0
+        for size in sorted(by_size, reverse=True):
+            same = by_size[size]
+            wanted = sum(r["rate"] for r in same) * size + carry
+            low = len(same) * min(3, int(same[0]["rate"]))
+            copies = low + (min(max(int(np.floor(wanted / size - low + 0.5)), 0), len(same)) if same[0]["rate"] < 3 else 0)
+            carry = wanted - copies * size
+            assert sum(r["copies"] for r in same) == copies
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(by_size) / 2 + 1e-6 * own[0]["target"]
+    # What "everything once" is tilted to: the logarithm of a rate below the cap is proportional to the size.
+    tilt = [np.log(r["rate"]) / r["size"] for r in out if r["source"] == "a" and r["rate"] < 2.999]
+    assert len(tilt) > 4096 and max(tilt) - min(tilt) < 1e-9
+
+
 def test_mix_says_when_rates_do_not_settle(spark):
     rows = [(i, "w " * (i % 30 + 1), "ab"[i % 7 > 4]) for i in range(200)]
     with pytest.raises(RuntimeError, match="not settled"):
