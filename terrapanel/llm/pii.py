@@ -22,7 +22,7 @@ _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-
 _DATE = r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])"
 _SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-_IP = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"
+_IP = rf"(?<![A-Za-z0-9_.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"
 #: A group of digits in a longer number is not the start of another value.
 _NO_OTHER = f"(?!{_EMAIL}|{_DATE}|{_SSN}|{_IP})"
 _NO_LONG = "(?![ .-]?(?:[0-9][ -]?){12}[0-9])"
@@ -41,6 +41,8 @@ PATTERNS = {
     "ip": _IP,
     "card": f"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?:[ -]{_NO_OTHER}[0-9]++)*+",
 }
+#: Country codes of one and of two digits; all others have three.
+_COUNTRY_CODE = "1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|53|54|55|56|57|58|60|61|62|63|64|65|66|81|82|84|86|90|91|92|93|94|95|98|[0-9]{3}"
 #: Cards in their usual groups are looked for first, then any 13 to 19 digits, the longest first.
 _USUAL_CARDS = ("[0-9]{13,19}", "[0-9]{4}(?:[ -][0-9]{4}){3}", "[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}")
 _OTHER_CARDS = tuple(f"[0-9](?:[ -]?[0-9]){{{n - 1}}}" for n in range(19, 12, -1))
@@ -109,10 +111,11 @@ def _card(value: Column, key: str) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
-    code = F.regexp_extract(value, r"^(\+[0-9]{1,3})[ .(-]", 1)
-    code = F.when(code == "", F.substring(value, 1, 2)).otherwise(code)
-    rest = F.substring(value, F.length(code) + 1, F.length(value))
-    return F.concat(code, _in_place(rest, _permuted_digits(_digits(rest), F.lit("phone"), key)))
+    """The country code is read from the digits, so that a number is the same however it is written."""
+    digits = _digits(value)
+    code = F.regexp_extract(digits, f"^({_COUNTRY_CODE})", 1)
+    rest = F.substring(digits, F.length(code) + 1, F.length(digits))
+    return _in_place(value, F.concat(code, _permuted_digits(rest, F.lit("phone"), key)))
 
 
 def _ip(value: Column, key: str) -> Column:

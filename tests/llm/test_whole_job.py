@@ -60,6 +60,17 @@ def test_chained_near_copies_in_large_groups(spark):
 # 2. Pseudonyms.
 
 
+def test_a_phone_number_is_linked_however_it_is_written(spark):
+    texts = ["+44 20 7946 0958", "+442079460958", "+44-20-7946-0958", "+358 40 123 4567", "+358401234567", "+1 (826) 555-4081", "+18265554081", "v1.2.3.4 x_10.0.0.1", "at 10.0.0.1"]
+    new = [r["text"] for r in pii.pseudonymize(docs(spark, texts), "k").orderBy("doc_id").collect()]
+    plain = [re.sub("[^0-9]", "", x) for x in new]
+    assert plain[0] == plain[1] == plain[2] and plain[3] == plain[4] and plain[5] == plain[6]
+    assert [x[: len(c)] for x, c in zip(new, ["+44 ", "+44", "+44-", "+358 ", "+358", "+1 (", "+1"], strict=False)] == ["+44 ", "+44", "+44-", "+358 ", "+358", "+1 (", "+1"]
+    assert all(re.sub("[0-9]", "9", a) == re.sub("[0-9]", "9", b) and a != b for a, b in zip(new[:7], texts, strict=False))
+    assert new[7] == texts[7] and new[8] != texts[8]
+
+
+
 def test_pseudonyms_of_neighbouring_numbers(spark):
     phone, ip, card = "+1 (826) 555-4081", "190.137.223.204", "4111111111111111"
     alone = [phone, ip, card, "4111 1111 1111 1111", "2024-02-29", "me@x.org", "4222222222222"]
