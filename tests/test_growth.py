@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from terrapanel.operators import spatial
 from terrapanel.operators import windows as W
-from terrapanel.plans import features
+from terrapanel.plans import features, model
+from terrapanel.plans.views import Views
 
 
 def day(k: int) -> dt.date:
@@ -50,3 +51,45 @@ def test_trailing_values_spread_no_row_over_the_next(spark):
     assert all(list(got[k]) == pytest.approx(want[k]) for k in want)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("explode(sequence(day") == 1 and "until" in plan
+
+
+def test_the_design_makes_only_the_columns_it_reads(spark, monkeypatch):
+    """The queries on the design ask the model table for its inputs alone, and these are all that it reads."""
+    from terrapanel.plans import registry
+
+    asked = []
+
+    def only(self, *columns):
+        asked.append(columns)
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(Views, "model_columns", only)
+    for name in ("design_matrix", "leakage_scan_matrix", "ablation"):
+        with pytest.raises(KeyboardInterrupt):
+            registry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert len(asked) == 3 and all(0 < len(c) < 45 for c in asked)
+    rows = spark.createDataFrame([], ", ".join(f"{c} {'date' if c == 'day' else 'double'}" for c in model.design_inputs(banding=True)))
+    assert set(model.feature_columns(model.design_matrix(rows, "2000-01-01", banding=True))) == set(model.design_columns(banding=True))
+
+
+def test_a_fit_takes_few_passes_and_is_exact(spark, monkeypatch):
+    """Newton steps: the gradient of the penalised losses is 0 where they end, also with a constant and a doubled column."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2000, 2))
+    y = rng.random(2000) < 1 / (1 + np.exp(-(x @ [2.0, -1.0] - 2)))
+    df = spark.createDataFrame([(float(a), float(b), 3.0, float(a), bool(t)) for (a, b), t in zip(x, y, strict=True)], "a double, b double, c double, d double, y boolean")
+    calls, sums = [], model._loss_sums
+    monkeypatch.setattr(model, "_loss_sums", lambda *args: calls.append(1) or sums(*args))
+    fit = model.fit_logit(df, ["a", "b", "c", "d"], "y")
+    assert 2 < len(calls) <= 15
+    z = np.column_stack([x[:, 0], x[:, 1], np.full(2000, 3.0), x[:, 0]])
+    z = (z - fit.means) / fit.deviations
+    p = 1 / (1 + np.exp(-(z @ fit.coefficients + fit.intercept)))
+    assert np.abs(z.T @ (p - y) + fit.coefficients).max() < 1e-6 and abs(np.sum(p - y)) < 1e-6
+    # Every fit is judged on written scores: metrics pass over two columns, not over the features again.
+    seen, metrics = [], model.metrics
+    monkeypatch.setattr(model, "metrics", lambda s, *args: seen.append((s.columns, s.inputFiles())) or metrics(s, *args))
+    out = model.ablation(df, df, ["a", "b"], {"b": ["b"]}, "y").collect()
+    assert len(out) == 2 and all(columns == ["_score", "y"] and files for columns, files in seen)
