@@ -169,7 +169,7 @@ class Views:
 
     @cached_property
     def spatial_lag(self) -> DataFrame:
-        return P.spatial_lag(self.adjacency, self.daily_counts, self.days, parts=self.parts)
+        return P.spatial_lag(self.adjacency, self.daily_counts, self.days, parts=self.parts or place_parts(self.spark))
 
     @cached_property
     def weather_lag(self) -> DataFrame:

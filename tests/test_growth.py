@@ -93,3 +93,23 @@ def test_a_fit_takes_few_passes_and_is_exact(spark, monkeypatch):
     monkeypatch.setattr(model, "metrics", lambda s, *args: seen.append((s.columns, s.inputFiles())) or metrics(s, *args))
     out = model.ablation(df, df, ["a", "b"], {"b": ["b"]}, "y").collect()
     assert len(out) == 2 and all(columns == ["_score", "y"] and files for columns, files in seen)
+
+
+def test_edges_meet_events_and_not_their_days(spark):
+    """Recency and counts of different neighbours equal those by neighbour ages, but what meets the edges is not spread."""
+    rng = random.Random(9)
+    edges = spark.createDataFrame([(a, b) for a in range(8) for b in range(8) if a != b and (a + b) % 3], "place long, neighbour long")
+    events = spark.createDataFrame(sorted({(rng.randrange(9), day(rng.randrange(500))) for _ in range(60)}), "place long, day date")
+    calendar = spark.createDataFrame([(day(k),) for k in range(20, 700)], "day date")
+    ages = W.neighbour_ages(edges, events, 365, calendar)
+    want = ages.groupBy("place", "day").agg(F.min("age").alias("since"))
+    counted = ages.filter("age <= 60").groupBy("place", "day").agg(*(F.count_if(F.col("age") <= w).alias(f"n_{w}d") for w in W.WINDOWS))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for parts in (None, 3):
+        since = W.neighbour_recency(edges, events, 365, "since", calendar, parts)
+        counts = W.neighbour_counts(edges, events, "n", calendar=calendar, parts=parts)
+        assert since.columns == want.columns and rows(since) == rows(want)
+        assert counts.columns == counted.columns and rows(counts) == rows(counted)
+        for df in (since, counts):
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            assert "sequence(" not in plan[plan.index("Join Inner") :]
