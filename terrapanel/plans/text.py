@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrapanel.sources.shared import small_batches
+
 POSITIVE = ("good", "great", "happy", "love", "safe", "healthy", "calm")
 NEGATIVE = ("bad", "awful", "sick", "dead", "hate", "fear", "stupid", "idiot", "scum")
 
@@ -39,6 +41,7 @@ def score_with(posts: DataFrame, make_scorer: Callable[[], Callable[[pd.Series],
                 scores[known] = scorer(given).clip(-1, 1)
             yield batch.assign(**{into: scores.astype(object).where(known, None)})
 
+    small_batches(posts.sparkSession)
     schema = T.StructType([*(f for f in posts.schema.fields if f.name != into), T.StructField(into, T.DoubleType())])
     return posts.drop(into).mapInPandas(run, schema)
 

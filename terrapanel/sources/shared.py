@@ -10,6 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
+#: Bytes of rows that Spark puts into one Arrow batch for Python.
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Limits Arrow batches to BATCH_BYTES where the session has no limit of its own: a batch of 10,000 long texts is
+    held several times in a Python worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, BATCH_BYTES)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a temporary one only in local mode, where one

@@ -113,3 +113,17 @@ def test_edges_meet_events_and_not_their_days(spark):
         for df in (since, counts):
             plan = df._jdf.queryExecution().optimizedPlan().toString()
             assert "sequence(" not in plan[plan.index("Join Inner") :]
+
+
+def test_scorers_get_batches_of_bounded_bytes(spark):
+    """60 texts of a million characters reach a scorer in batches of a few of them."""
+    from terrapanel.plans.text import score_with
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    posts = spark.range(0, 60, 1, 1).select("id", F.repeat(F.lit("x"), 1_000_000).alias("text"))
+
+    def scorer():
+        return lambda texts: texts.str.len().sum() / 1e9 + texts.str.len() * 0.0
+
+    found = score_with(posts, scorer).agg(F.max("score"), F.count("score")).first()
+    assert found[0] * 1e9 <= 8_000_000 and found[1] == 60
