@@ -136,3 +136,19 @@ def test_the_grid_of_dense_trailing_is_not_shuffled(spark):
     plan = registry.queries()["dense_trailing"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     cross = plan.index("BroadcastNestedLoopJoin")
     assert "Exchange hashpartitioning" not in plan[:cross] and "Exchange hashpartitioning(place" in plan[cross:]
+
+
+def test_columns_of_outbreaks_alone_read_no_other_fact(spark, monkeypatch):
+    """The sample and the scores are made from the lines of outbreaks: no other facts are written, no posts read."""
+    from terrapanel.plans import registry
+
+    monkeypatch.setattr(Views, "rebuilt", lambda self: pytest.fail("all facts are written"))
+    plan = registry.queries()["case_control_sample"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "detection_count" not in plan and "post_count" not in plan and "temp_min_c" not in plan
+    assert registry._scores(Views(spark, "/root/testdata/sf0.001")).columns == ["place", "day", "y", "p"]
+
+
+def test_the_model_table_meets_no_pairs_of_places(spark, monkeypatch):
+    """Pressure comes of sites, not of all pairs of places, whose number grows as the square of the places'."""
+    monkeypatch.setattr(Views, "pairs", property(lambda self: pytest.fail("pairs of places")))
+    assert "breeding_side_pressure" in Views(spark, "/root/testdata/sf0.001").county_day.columns
