@@ -119,3 +119,14 @@ def test_nothing_late_rewrites_nothing(spark, tmp_path):
     none = spark.createDataFrame([], "place string, day date")
     assert tables.refresh(now, {}) == tables.refresh(now, dict.fromkeys(FACTS, none)) == {t: [] for t in REACHES}
     assert before == {t: files(tables.stores[t]) for t in REACHES} and dataclasses.is_dataclass(now)
+
+
+def test_the_model_table_is_rebuilt_in_one_pass_over_the_grid(spark, tmp_path):
+    """The stored model table and its refreshed years come of one join of the grid, not of one for each feature table."""
+    now = inputs(spark, random_facts(7, 400), 400)
+    tables = FeatureTables(spark, str(tmp_path / "t"))
+    tables.rebuild(now)
+    plan = FeatureTables._built("county_day", now, now.days, tables.read)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter, ((place") == 1
+    wide = [line for line in plan.splitlines() if "own_outbreaks_60d" in line and "Join LeftOuter" in line]
+    assert not wide
