@@ -165,3 +165,51 @@ def test_missing_shares_make_no_column_that_cannot_be_null(spark, monkeypatch):
     model = Views(spark, "/root/testdata/sf0.001").rebuilt()
     holds = {f.name for f in made(model).schema.fields if f.nullable}
     assert holds - set(asked[0]) <= {"place", "day"} and rows.columns == ["column_name", "null_share"]
+
+
+def test_the_model_table_of_lists_equals_that_of_windows(spark, monkeypatch):
+    """Facts from before the calendar, at its ends and of unknown places, a calendar with gaps, some columns, modelled rows,
+    and groups of two places, blocks of one site and a few days at once."""
+    from terrapanel.operators import dense
+    from terrapanel.operators.ingest import with_calendar_columns
+    from tests.test_refresh import content, inputs, random_facts
+
+    facts = random_facts(11, 500)
+    facts = {f: sorted({*rows, ("a", 0), ("a", 3), ("zz", 250), ("b", 500), ("c", 60), ("c", 130)}) for f, rows in facts.items()}
+    i = inputs(spark, facts, 500)
+    calendar = with_calendar_columns(i.days.filter((F.col("day") >= dt.date(2021, 2, 1)) & (F.dayofyear("day") % 50 != 0)))
+    tables = i.outbreak, i.weather, i.wild, i.band, i.axis
+    want = features.dense_county_day(i.places, calendar, i.edges, *tables, i.pairs, i.census, i.sentiment, 4).cache()
+    got = features.listed_county_day(i.places, calendar, i.edges, *tables, i.census, i.sentiment)
+    assert got.columns == want.columns and [(c, k) for c, k in got.dtypes] == want.dtypes
+    assert content(got) == content(want)
+    few = ["place", "day", "nbr_infections_7d", "days_since_outbreak_neighbor", "target_outbreak_next_14d", "breeding_side_pressure", "season", "state"]
+    for cells, at_once in ((1, 100), (1500, 7)):
+        monkeypatch.setattr(dense, "CELLS", cells)
+        monkeypatch.setattr(dense, "DAYS_AT_ONCE", at_once)
+        some = features.listed_county_day(i.places, calendar, i.edges, *tables, i.census, i.sentiment, columns=few, digits=8, modelled=True)
+        assert content(some) == content(want.filter("is_conus and target_complete_7d").select(*few))
+
+
+def test_places_times_days_are_written_and_not_computed_by_rows(spark):
+    """The plan of the model table joins places; days are not exploded, no window runs over the grid, and nothing follows
+    the task that writes the rows."""
+    from terrapanel.plans import registry
+
+    plan = registry.queries()["county_day"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan[:200] and "sequence(" not in plan and "CartesianProduct" not in plan
+    assert "BroadcastNestedLoopJoin" not in plan[: plan.index("Join")]
+
+
+def test_rounding_by_arithmetic_equals_that_of_decimals(spark):
+    import numpy as np
+
+    from terrapanel.functions.scalar import rounded
+    from terrapanel.operators import dense
+
+    rng = random.Random(3)
+    values = [0.0, 1 / 512, -1 / 512, 0.1, 2.5e-9, 1e300, float("inf"), float("nan"), 123456789.123456789, None, *(rng.uniform(-1000, 1000) for _ in range(2000))]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", rounded(F.col("v"), 8).alias("a"), F.round("v", 8).alias("b")).collect()
+    assert all(repr(r["a"]) == repr(r["b"]) for r in rows)
+    plain = [v for v in values if v is not None]
+    assert list(map(repr, dense.rounded(np.array(plain), 8).tolist())) == [repr(r["a"]) for r in rows if r["v"] is not None]
