@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from terrapanel.functions.scalar import log_count
 from terrapanel.operators.quality import QualityError
 from terrapanel.operators.ranking import cumulative, exact_quantiles, exact_quantiles_of
+from terrapanel.sources.layout import wide_rows
 from terrapanel.sources.shared import kept
 
 #: Columns of the model table that enter as logarithms, and those that enter as they are.
@@ -48,13 +49,23 @@ def split_audit(rows: DataFrame, split_day: str, label: str = LABEL) -> DataFram
     return rows.groupBy((F.col("day") < F.lit(split_day).cast("date")).alias("is_train")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(label).alias("positives"), F.avg(F.col(label).cast("double")).alias("rate"))
 
 
-def design_matrix(rows: DataFrame, split_day: str, banding: bool = False, keep: Sequence[str] = ("place", "day", LABEL)) -> DataFrame:
+def design_fill(rows: DataFrame, split_day: str, places: DataFrame | None = None) -> DataFrame:
+    """One row, _layer_inventory and one for each of WEATHER: the median over all rows, and those over the rows before
+    split_day.  With places, inventory is theirs: right where each has as many rows.  Rows without weather may be left out."""
+    before = F.col("day") < F.lit(split_day).cast("date")
+    weather = {c: F.when(before, F.col(c)) for c in WEATHER}
+    inventory = {"layer_inventory": F.col("layer_inventory")}
+    medians = exact_quantiles_of(rows, inventory | weather, [0.5]) if places is None else exact_quantiles_of(rows, weather, [0.5]).crossJoin(F.broadcast(exact_quantiles_of(places, inventory, [0.5])))
+    return medians.select(*(F.col(f"{c}_q0").alias(f"_{c}") for c in ("layer_inventory", *WEATHER)))
+
+
+def design_matrix(rows: DataFrame, split_day: str, banding: bool = False, keep: Sequence[str] = ("place", "day", LABEL), fill: DataFrame | None = None) -> DataFrame:
     """Model columns: logarithms of counts, recency capped with an indicator of censoring, inventory with
     an indicator of withholding and filled with its median over all rows, weather filled with medians over
-    the rows before split_day and an indicator."""
-    before = F.col("day") < F.lit(split_day).cast("date")
-    medians = exact_quantiles_of(rows, {"layer_inventory": F.col("layer_inventory")} | {c: F.when(before, F.col(c)) for c in WEATHER}, [0.5])
-    fill = medians.select(*(F.col(f"{c}_q0").alias(f"_{c}") for c in ("layer_inventory", *WEATHER)))
+    the rows before split_day and an indicator.  fill: these medians as design_fill() gives them; without it, rows are
+    passed over twice for them."""
+    wide_rows(rows.sparkSession)
+    fill = design_fill(rows, split_day) if fill is None else fill
     x = rows.crossJoin(F.broadcast(fill))  # one row of medians
     columns = [log_count(F.col(c)).alias(f"log_{c}") for c in COUNTS]
     for c in CENSORED:

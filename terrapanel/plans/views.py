@@ -187,6 +187,12 @@ class Views:
         v = self if self.parts else self.rebuilt()
         return P.dense_county_day(v.places, v.calendar, v.adjacency, v.outbreak, v.weather, v.wild, v.band, v.axis, None, v.census, v.sentiment.drop("lang_breakdown"), v.parts, observed=v.observed)
 
+    def modelled_weather(self) -> DataFrame:
+        """The modelled rows of the model table that have weather, (place, day, the weather of seven days), straight from the facts."""
+        last = self.observed.select(F.date_sub("max_day", 7).alias("_last"))
+        rows = self.weather_lag.join(self.places.filter("is_conus").select("place"), "place", "left_semi")
+        return rows.crossJoin(F.broadcast(last)).filter("day <= _last").drop("_last")  # one row
+
     @cached_property
     def observed(self) -> DataFrame:
         """features.observed_days() and the first day of any fact, by one look at the lines or what is made of them."""

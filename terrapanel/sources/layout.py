@@ -15,6 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from terrapanel.sources.shared import shared_folder
 
 _SUBSET = "spark.sql.requireAllClusterKeysForCoPartition"
+#: Bytes of code beyond which the JVM leaves a method uncompiled; rows of many columns are beyond it as one method.
+_METHOD, _METHOD_BYTES = "spark.sql.codegen.hugeMethodLimit", "8000"
+
+
+def wide_rows(spark: SparkSession) -> None:
+    """Lets Spark run stages over rows of many columns operator by operator, in methods that the JVM compiles."""
+    spark.conf.set(_METHOD, _METHOD_BYTES)
 
 
 def place_parts(spark: SparkSession) -> int:

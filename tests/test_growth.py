@@ -213,3 +213,17 @@ def test_rounding_by_arithmetic_equals_that_of_decimals(spark):
     assert all(repr(r["a"]) == repr(r["b"]) for r in rows)
     plain = [v for v in values if v is not None]
     assert list(map(repr, dense.rounded(np.array(plain), 8).tolist())) == [repr(r["a"]) for r in rows if r["v"] is not None]
+
+
+def test_the_whole_design_is_made_in_one_pass_and_not_written(spark, monkeypatch):
+    """Medians come of facts and places; neither model rows nor the design are written, and both ways give the same."""
+    from terrapanel.plans import registry
+    from tests.test_refresh import content
+
+    folder, written, kept = "/root/testdata/sf0.001", [], registry.kept
+    monkeypatch.setattr(registry, "kept", lambda df, name: written.append(name) or kept(df, name))
+    made = registry._whole_design(Views(spark, folder))
+    registry.queries()["leakage_scan_matrix"](spark, folder)
+    assert not written
+    rows = registry._model_rows(Views(spark, folder), *model.design_inputs())
+    assert content(made) == content(model.design_matrix(rows, "2000-01-01"))
