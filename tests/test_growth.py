@@ -227,3 +227,44 @@ def test_the_whole_design_is_made_in_one_pass_and_not_written(spark, monkeypatch
     assert not written
     rows = registry._model_rows(Views(spark, folder), *model.design_inputs())
     assert content(made) == content(model.design_matrix(rows, "2000-01-01"))
+
+
+def test_all_fits_step_in_the_same_passes(spark, monkeypatch):
+    """An ablation and a permutation pass over the rows as often as one fit does, and write one table of scores."""
+    rng = random.Random(6)
+    rows = [(k, day(k % 300), rng.random(), rng.gauss(0, 1), rng.gauss(0, 1)) for k in range(3000)]
+    df = spark.createDataFrame([(k, d, a, b, a, u + b > 0.9) for k, d, u, a, b in rows], "place long, day date, a double, b double, c double, y boolean")
+    calls, written, sums, kept = [], [], model._loss_sums, model.kept
+    monkeypatch.setattr(model, "_loss_sums", lambda *args: calls.append(len(args[-1])) or sums(*args))
+    monkeypatch.setattr(model, "kept", lambda df, name: written.append(name) or kept(df, name))
+    blocks = {"b": ["b"], "a": ["a", "c"]}
+    table = {r["block"]: r["roc_auc"] for r in model.ablation(df, df, ["a", "b", "c"], blocks, "y").collect()}
+    assert 2 < len(calls) <= 15 and max(calls) == 3 and written == ["scored"]
+    for name, block in {"none": [], **blocks}.items():
+        alone = model.fit_logit(df, [f for f in ("a", "b", "c") if f not in block], "y")
+        assert model.metrics(model.scored(df, alone, "p", "y"), "p", "y").first()["roc_auc"] == pytest.approx(table[name], abs=1e-9)
+    calls.clear()
+    found = {r["repeat"]: r["roc_auc"] for r in model.permutation_test(df, df, ["a", "b", "c"], ["b"], repeats=2, label="y").collect()}
+    assert 2 < len(calls) <= 15 and max(calls) == 3
+    alone = model.fit_logit(model.shuffled_block(df, ["b"], ["place", "day"], 2), ["a", "b", "c"], "y")
+    assert model.metrics(model.scored(df, alone, "p", "y"), "p", "y").first()["roc_auc"] == pytest.approx(found[2], abs=1e-9)
+
+
+def test_blocks_are_shuffled_together_as_one_by_one(spark):
+    rows = spark.range(5000).select(F.col("id").alias("place"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 70).cast("int")).alias("day"), (F.col("id") * 3).alias("u"), F.rand(1).alias("v"))
+    both = model.shuffled_blocks(rows, ["u"], ["place", "day"], [1, 2], stratum_rows=600)
+    for seed in (1, 2):
+        one = model.shuffled_block(rows, ["u"], ["place", "day"], seed, stratum_rows=600)
+        assert sorted(map(tuple, both.select("place", F.col(f"u_{seed}")).collect())) == sorted(map(tuple, one.select("place", "u").collect()))
+
+
+def test_training_rows_are_written_apart(spark):
+    """A fit's passes read no file of test rows."""
+    from terrapanel.sources.shared import kept_apart
+
+    rows = spark.range(100).select("id", F.when(F.col("id") < 90, F.col("id") % 3 == 0).alias("train"))
+    a, b = kept_apart(rows, "apart", F.col("train"))
+    assert a.columns == b.columns == ["id", "train"] and a.count() == 30 and b.count() == 70
+    assert not set(a.inputFiles()) & set(b.inputFiles()) or "PartitionFilters: [isnotnull(_apart" in a._jdf.queryExecution().executedPlan().toString()
+    none, all_ = kept_apart(rows.filter("id < 0"), "apart", F.col("train"))
+    assert none.count() == all_.count() == 0
