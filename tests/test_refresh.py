@@ -130,3 +130,25 @@ def test_the_model_table_is_rebuilt_in_one_pass_over_the_grid(spark, tmp_path):
     assert plan.count("Join LeftOuter, ((place") == 1
     wide = [line for line in plan.splitlines() if "own_outbreaks_60d" in line and "Join LeftOuter" in line]
     assert not wide
+
+
+def test_the_model_table_is_stored_and_refreshed_alone(spark, tmp_path):
+    """Without the other tables and without pairs of places it comes out as whole, sorted in its files; untouched years stay."""
+    old = random_facts(5, 800)
+    new = {f: sorted({*old[f], ("b", 20), ("c", 31)}) for f in FACTS}
+    late = {f: spark.createDataFrame([(p, day(n)) for p, n in sorted(set(old[f]) ^ set(new[f]))], "place string, day date") for f in FACTS}
+    alone, whole = FeatureTables(spark, str(tmp_path / "alone"), ["county_day"]), FeatureTables(spark, str(tmp_path / "whole"))
+    before = dataclasses.replace(inputs(spark, old, 800), pairs=None)
+    alone.rebuild(before)
+    years = files(alone.stores["county_day"])
+    done = alone.refresh(dataclasses.replace(inputs(spark, new, 800), pairs=None), late)
+    whole.rebuild(inputs(spark, new, 800))
+    assert content(alone.read("county_day")) == content(whole.read("county_day"))
+    assert os.listdir(tmp_path / "alone") == ["county_day"] and done["county_day"] and not done["pressure"]
+    after = files(alone.stores["county_day"])
+    assert all(after[y] == years[y] for y in years if int(y) not in done["county_day"])
+    for folder in alone.stores["county_day"].version()["parts"].values():
+        for name in os.listdir(tmp_path / "alone" / "county_day" / folder):
+            if name.endswith(".parquet"):
+                keys = [tuple(r) for r in spark.read.parquet(str(tmp_path / "alone" / "county_day" / folder / name)).select("place", "day").collect()]
+                assert keys == sorted(keys)
